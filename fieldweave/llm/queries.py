@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import quality_rules, sharding
+from fieldweave.llm import quality_rules, sharding, trie_bpe
 
 QUERIES = {
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
     "op7_host_rules": quality_rules.op7_host_rules,
+    "op10_trie_bpe": trie_bpe.op10_trie_bpe,
 }
 
 ORACLE_SQL = {
