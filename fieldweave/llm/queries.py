@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import quality_rules, sharding, trie_bpe
+from fieldweave.llm import packing, quality_rules, sharding, trie_bpe
 
 QUERIES = {
+    "op1_best_fit": packing.op1_best_fit,
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
     "op7_host_rules": quality_rules.op7_host_rules,
     "op10_trie_bpe": trie_bpe.op10_trie_bpe,
