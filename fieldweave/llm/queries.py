@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import kmeans_tree, language_id, packing, quality_rules, sharding, trie_bpe
+from fieldweave.llm import jaccard_join, kmeans_tree, language_id, packing, quality_rules, sharding, trie_bpe
 
 QUERIES = {
     "op1_best_fit": packing.op1_best_fit,
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_hyperdimensional": language_id.op6_hyperdimensional,
     "op7_host_rules": quality_rules.op7_host_rules,
     "op9_kmeans_tree": kmeans_tree.op9_kmeans_tree,
