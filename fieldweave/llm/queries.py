@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, packing, quality_rules, sharding, trie_bpe
+from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, packing, preference_format, quality_rules, sharding, trie_bpe
 
 QUERIES = {
     "op1_best_fit": packing.op1_best_fit,
     "op2_host_suffix_array": html_extraction.op2_host_suffix_array,
+    "op3_preference": preference_format.op3_preference,
     "op4_sampled_splitters": sharding.op4_sampled_splitters,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_hyperdimensional": language_id.op6_hyperdimensional,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_preference": preference_format.SQL,
     "op7_host_rules": quality_rules.SQL,
 }
