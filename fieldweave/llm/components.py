@@ -12,9 +12,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node of it) for every node in edges a, b.
 
     Edges and labels stay distributed; each round is written to the checkpoint folder. Rounds grow
-    with the logarithm of a component's width. Edges with a null end are left out.
+    with the logarithm of a component's width. Edges with a null end, or from a node to itself, are left out.
     """
-    one_way = edges.select("a", "b").where("a is not null and b is not null")
+    # Each node keeps one edge, to its smallest neighbour, which takes over those to its other smaller
+    # neighbours: the same components with about one edge a node.
+    down = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    taken = down.join(least, "a")
+    one_way = taken.select("a", F.col("least").alias("b")).union(taken.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
     both = cut(one_way.union(one_way.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
