@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where the session names none (tests on one machine)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getCheckpointDir()
+    return named
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame as written to the shared folder in spark.checkpoint.dir, so that a lost executor costs a reread only.
+    """The frame as written to the shared folder, so that a lost executor costs a reread only."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
 
-    Where the session names no folder (tests on one machine), a temporary one is set.
+def written(frame: DataFrame) -> DataFrame:
+    """As cut, for larger frames: columns in a compressed file, of which later steps read what they need."""
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def reduced(big: DataFrame, small: DataFrame, columns: list[str], most_bits: int = 1 << 28) -> DataFrame:
+    """big without most of the rows whose columns are not in small; a join is to follow.
+
+    The keys of small are marked in a bitmap of 16 bits a key, ``most_bits`` (32 MB) at most, that is
+    broadcast: rows that match nothing are then not shuffled. Beyond that bound fewer rows are spared.
     """
-    context = frame.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return frame.checkpoint()
+    bits = 1 << 19
+    keys = small.count()
+    while bits < min(16 * keys, most_bits):
+        bits *= 2
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    marks = small.select(place.alias("place")).groupBy(F.expr("bitmap_bucket_number(place)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("__marks"))
+    byte = F.conv(F.hex(F.expr("substring(__marks, cast(bitmap_bit_position(__place) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__place) % 8 as int))")) > 0
+    placed = big.withColumn("__place", place).withColumn("__bucket", F.expr("bitmap_bucket_number(__place)"))
+    return placed.join(F.broadcast(marks), "__bucket").where(marked).select(*big.columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import WORD, cut, shuffle_partitions, spread, table
+from fieldweave.llm.common import WORD, cut, reduced, shuffle_partitions, spread, table, written
 from fieldweave.llm.components import components
 
 _WORD = re.compile(WORD)
@@ -158,13 +158,13 @@ class Comparer:
         return out
 
 
-def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, block_rows: int = 1000, block_shingles: int = 2_000_000, least_words: int = 0) -> DataFrame:
+def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, step: int = 25, block_rows: int = 500, block_shingles: int = 2_000_000, least_words: int = 0) -> DataFrame:
     """keys, digest, class_key (struct of the class's smallest keys), n_links, copies for every row of units.
 
     Texts of fewer than ``least_words`` words are in classes by equality only.
     """
     spark = units.sparkSession
-    flat = units.select(*keys, F.md5(F.col(text_column).cast("binary")).alias("digest"), F.col(text_column).alias("text"))
+    flat = units.select(*keys, F.unhex(F.md5(F.col(text_column).cast("binary"))).alias("digest"), F.col(text_column).alias("text"))
     kinds = dict(flat.dtypes)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +181,7 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
                 bands.append(minhash.bands(minhash.of(found), band_rows) if len(found) else [])
             yield batch.drop(columns="text").assign(size=sizes, bands=bands)
 
-    signed = cut(spread(flat).mapInPandas(sign, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", digest string, size int, bands array<long>"))
+    signed = written(spread(flat).mapInPandas(sign, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", digest binary, size int, bands array<long>"))
     key = F.struct(*keys)
     texts = cut(
         signed.where("digest is not null")
@@ -211,12 +211,13 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
     )
+    wanted = reduced(wanted, candidates, ["digest", "any_key"])  # few texts are candidates
     same_row = (wanted["digest"] == dealt["digest"]) & wanted["any_key"].eqNullSafe(dealt["any_key"])
     with_text = wanted.join(dealt, same_row).select("text", "node", "component", "copies", "block", "alone", "cell", "i", "j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").reset_index(drop=True)
-        hashes, minhash, comparer = WordHashes(), MinHash(values), Comparer(threshold, tolerance, values)
+        hashes, minhash, comparer = WordHashes(), MinHash(values), Comparer(threshold, tolerance, values, step)
         out = []
         for _, part in rows.groupby("component"):
             sets = [shingles(t, hashes, n) for t in part["text"]]
@@ -262,8 +263,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row left of each class: that of the smallest id. Null ids that name no class keep their rows."""
     found = near_duplicates(docs, id_column, text_column)
-    keepers = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("__id"), F.coalesce("digest", F.lit("")).alias("__digest")).distinct()
-    digest = F.coalesce(F.md5(F.col(text_column).cast("binary")), F.lit(""))
+    keepers = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("__id"), F.coalesce("digest", F.lit(b"")).alias("__digest")).distinct()
+    digest = F.coalesce(F.unhex(F.md5(F.col(text_column).cast("binary"))), F.lit(b""))
     kept = docs.withColumn("__digest", digest).withColumn("__id", F.col(id_column))
     met = kept.join(keepers, (kept["__digest"] == keepers["__digest"]) & kept["__id"].eqNullSafe(keepers["__id"]), "left_semi")
     return met.dropDuplicates(["__id", "__digest"]).select(*docs.columns)
