@@ -91,46 +91,58 @@ def profiles(labelled: DataFrame, space: Space, lang_column: str = "lang", text_
     return langs, made / np.linalg.norm(made, axis=1, keepdims=True) if langs else made
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text", space: Space | None = None, carry: list[Column] | None = None) -> DataFrame:
-    """lang_pred, score and cosine margin for every row of docs, with id_column or the carried columns."""
+def predictor(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text", space: Space | None = None):
+    """A function of a text column that gives struct(lang_pred, score), learned from the labelled rows."""
     space = space or Space()
     langs, prototypes = profiles(labelled, space, lang_column, text_column)
-    kept = carry or [F.col(id_column)]
-    narrow = docs.select(F.struct(*kept).alias("own"), F.col(text_column).alias("text"))
-    fields = narrow.select("own.*").columns
-    # the text in the clear for the model, everything else as it is
-    flat = narrow.select(*[F.col("own").getField(c).alias(c) for c in fields], F.col("text").alias("__text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.zeros(0, dtype=np.int64)
-        products = np.zeros((0, len(langs)))
-        for batch in batches:
-            if not len(batch):
+
+    def judged(texts: pd.Series, known: np.ndarray, products: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        found = [space.grams(t) for t in texts]
+        sizes = np.array([len(c) for c, _ in found])
+        codes = np.concatenate([c for c, _ in found])
+        new = np.setdiff1d(codes, known)
+        if len(new):
+            made = np.concatenate([space.vectors(new[i : i + 4096]).astype(np.float32) @ prototypes.T for i in range(0, len(new), 4096)])
+            known, products = np.concatenate([known, new]), np.concatenate([products, made])
+            order = np.argsort(known)
+            known, products = known[order], products[order]
+        weighted = products[np.searchsorted(known, codes)] * np.concatenate([n for _, n in found])[:, None]
+        sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(weighted, axis=0)])
+        ends = np.cumsum(sizes)
+        near = np.maximum(sums[ends] - sums[ends - sizes], 0) ** 2
+        total = near.sum(axis=1)
+        best = near.argmax(axis=1) if langs else np.zeros(len(near), dtype=int)
+        score = np.divide(near.max(axis=1, initial=0), total, out=np.zeros(len(near)), where=total > 0)
+        pred = [langs[b] if n and langs else "und" for b, n in zip(best, sizes)]
+        return pd.DataFrame({"lang_pred": pred, "score": score}), known, products
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, products = np.zeros(0, dtype=np.int64), np.zeros((0, len(langs)))
+        for texts in batches:
+            if not len(texts):
+                yield pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
                 continue
-            found = [space.grams(t) for t in batch["__text"]]
-            sizes = np.array([len(c) for c, _ in found])
-            codes = np.concatenate([c for c, _ in found])
-            new = np.setdiff1d(codes, known)
-            if len(new):
-                made = np.concatenate([space.vectors(new[i : i + 4096]).astype(np.float32) @ prototypes.T for i in range(0, len(new), 4096)])
-                known, products = np.concatenate([known, new]), np.concatenate([products, made])
-                order = np.argsort(known)
-                known, products = known[order], products[order]
-            weighted = products[np.searchsorted(known, codes)] * np.concatenate([n for _, n in found])[:, None]
-            sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(weighted, axis=0)])
-            ends = np.cumsum(sizes)
-            dots = np.maximum(sums[ends] - sums[ends - sizes], 0) ** 2
+            out, known, products = judged(texts, known, products)
             if len(known) > 500_000:  # texts in many scripts: start over, so that memory stays bounded
                 known, products = known[:0], products[:0]
-            total = dots.sum(axis=1)
-            best = dots.argmax(axis=1) if langs else np.zeros(len(dots), dtype=int)
-            told = (sizes > 0) & (total > 0)
-            score = np.divide(dots.max(axis=1, initial=0), total, out=np.zeros(len(dots)), where=told)
-            pred = [langs[b] if t else "und" if not n or not langs else langs[0] for b, t, n in zip(best, told, sizes)]
-            yield batch.drop(columns="__text").assign(lang_pred=pred, score=score)
-
-    kinds = dict(flat.dtypes)
-    return spread(flat).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in fields) + ", lang_pred string, score double")
+            yield out
+
+    return predict
+
+
+def identify(docs: DataFrame, labelled: DataFrame, carry: list[Column], lang_column: str = "lang", text_column: str = "text") -> DataFrame:
+    """The carried columns with lang_pred and score for every row of docs."""
+    predict = predictor(labelled, lang_column, text_column)
+    told = spread(docs).select(*carry, predict(F.col(text_column)).alias("__told"))
+    return told.select(*told.columns[:-1], "__told.lang_pred", "__told.score")
+
+
+def keep_known(docs: DataFrame, labelled: DataFrame, least_score: float = 0.0, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
+    """docs without the rows that are ``und`` or score below the bound; columns stay as they are."""
+    predict = predictor(labelled, lang_column, text_column)
+    told = spread(docs).withColumn("__told", predict(F.col(text_column)))
+    return told.where((F.col("__told.lang_pred") != "und") & (F.col("__told.score") >= least_score)).drop("__told")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

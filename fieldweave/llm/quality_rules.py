@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldweave.llm.common import WORD, cut, spread, table
 
@@ -44,30 +44,41 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeated
 
 
-def measured(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = pd.DataFrame([measure(t) for t in batch["text"]], columns=MEASURES, dtype="int64")
-            yield pd.concat([batch[["id", "host"]].reset_index(drop=True), rows], axis=1)
+@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
+def measures(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
 
-    narrow = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), F.col(text_column).alias("text"))
-    kinds = dict(narrow.dtypes)
-    return spread(narrow).mapInPandas(run, f"id {kinds['id']}, host {kinds['host']}, " + ", ".join(f"{m} long" for m in MEASURES))
 
+def base_failed(m: str, least_words: int, repeat_percent: int) -> Column:
+    return (F.col(f"{m}.n_words") < least_words) | (100 * F.col(f"{m}.n_repeat_words") > repeat_percent * F.col(f"{m}.n_words"))
 
-def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
-    """id, the five measures, base_failed, host_rate (null without a host) and kept, for every document."""
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    rows = cut(measured(docs, id_column, host_column, text_column).withColumn("base_failed", failed))
+
+def host_rates(rows: DataFrame) -> DataFrame:
+    """host and host_rate from rows of host and base_failed. The prior is one row; the table has a row a host."""
     hosts = cut(rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("bad")))
     n, mean = F.sum("n"), F.sum("bad") / F.sum("n")
     prior = hosts.agg(n.alias("all_n"), F.count(F.lit(1)).alias("hosts"), mean.alias("m"), (F.sum(F.col("bad") * F.col("bad") / F.col("n")) / n - mean * mean).alias("v"))
     spare = F.col("m") * (1 - F.col("m"))
     between = F.greatest(F.col("v") - spare * F.col("hosts") / F.col("all_n"), F.lit(1e-9))
     prior = prior.select("m", F.least(F.greatest(spare / between - 1, F.lit(1.0)), F.lit(10_000.0)).alias("strength"))
-    rates = hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", ((F.col("bad") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
+    shrunk = (F.col("bad") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", shrunk.alias("host_rate"))
+
+
+def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
+    """id, host, the five measures, base_failed, host_rate (null without a host) and kept, for every document."""
+    measured = spread(docs).select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), measures(F.col(text_column)).alias("m"))
+    rows = cut(measured.select("id", "host", "m.*", base_failed("m", least_words, repeat_percent).alias("base_failed")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True))
-    return rows.join(rates, "host", "left").select(F.col("id").alias(id_column), *MEASURES, "base_failed", "host_rate", kept.alias("kept"))
+    return rows.join(host_rates(rows), "host", "left").select(F.col("id").alias(id_column), "host", *MEASURES, "base_failed", "host_rate", kept.alias("kept"))
+
+
+def keep_passed(docs: DataFrame, host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
+    """docs without the rows that fail or whose host is rejected; columns stay as they are."""
+    measured = spread(docs).withColumn("__m", measures(F.col(text_column))).withColumn("__failed", base_failed("__m", least_words, repeat_percent))
+    rows = cut(measured.select(F.col(host_column).alias("host"), F.col("__failed").alias("base_failed")))
+    rejected = cut(host_rates(rows).where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("__host")))
+    return measured.where(~F.col("__failed")).join(rejected, F.col(host_column) == F.col("__host"), "left_anti").select(*docs.columns)
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

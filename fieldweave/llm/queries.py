@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, packing, preference_format, quality_rules, sharding, trie_bpe
+from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, packing, preference_format, quality_rules, sharding, substring_dedup, trie_bpe
 
 QUERIES = {
     "op1_best_fit": packing.op1_best_fit,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_hyperdimensional": language_id.op6_hyperdimensional,
     "op7_host_rules": quality_rules.op7_host_rules,
+    "op8_paragraph_banding": substring_dedup.op8_paragraph_banding,
     "op9_kmeans_tree": kmeans_tree.op9_kmeans_tree,
     "op10_trie_bpe": trie_bpe.op10_trie_bpe,
 }
