@@ -94,6 +94,12 @@ def cached_locations(cache: DataFrame) -> DataFrame:
     return kept_once(both, ["treeId"], ["rank", "key"]).drop("rank", "key")
 
 
+def cached_activities(cache: DataFrame) -> DataFrame:
+    """The cache's objects that are activities, in order of their keys."""
+    kind = F.lower(text_of("obj.__typename"))
+    return cache.where(first_given("obj.id").isNotNull() & is_activity(kind)).orderBy("key").select("key", "obj.*")
+
+
 def is_activity(kind: Column) -> Column:
     """By the type's name, or because it has what activities have."""
     named = kind.contains("activity") | kind.contains("stewardship") | kind.contains("report")

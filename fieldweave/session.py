@@ -28,3 +28,9 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def problems(spark: SparkSession) -> list[str]:
+    """Settings that would change results."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    return [] if zone == "UTC" else [f"spark.sql.session.timeZone is {zone}; dates are derived in UTC"]

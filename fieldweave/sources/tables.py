@@ -69,6 +69,16 @@ class Tables:
         self.overwrite(name, kept_once(rows, [key], order, keep).orderBy(*snapshot_order(date, key)))
 
 
+    def sync(self, activities: DataFrame, trees: DataFrame, order: Sequence[Column | str] = ("date", "id")) -> tuple[int, int]:
+        """Append new activities, then new trees; how many of each. Without new activities that table isn't written."""
+        return self.append_new("activities", activities, "id", order), self.append_new("trees", trees, "treeId", ["treeId"])
+
+
+def envelope(rows: DataFrame, strategy: str) -> DataFrame:
+    """One row with the number of rows, the strategy that gave them, and the rows: an answer to a caller, so for small results."""
+    return rows.agg(F.count(F.lit(1)).alias("count"), F.lit(strategy).alias("strategy"), F.collect_list(F.struct(*rows.columns)).alias("activities"))
+
+
 def write_json_array(rows: DataFrame, path: str) -> None:
     """One line with one array of all rows. This is one value, so it is for small tables; larger ones go to write.json."""
     rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.operators import joins
-from fieldweave.sources import activities, geojson, inventory, paged, tables
+from fieldweave.session import problems
+from fieldweave.sources import activities, delivery, geojson, inventory, paged, tables
 
 
 def lines(path, *objects):
@@ -36,6 +37,7 @@ def test_object_cache(spark, tmp_path):
     )
     got = sorted(map(tuple, joins.cached_locations(activities.read_cache(spark, path)).collect()))
     assert got == [("1", "40.1", "-73.1", "1  A", "Oak  red"), ("9", "41", "-74", "", "")]
+    assert [r.id for r in joins.cached_activities(activities.read_cache(spark, path)).collect()] == ["3"]
 
 
 def test_tables(spark, tmp_path):
@@ -116,3 +118,24 @@ def test_lookup_each_isolates_failures(spark):
     got = {r.treeId: (r.lat, r.error) for r in paged.lookup_each(keys, "treeId", fetch, "lat string").collect()}
     assert got == {"a": ("1", None), "bad": (None, "no answer"), "none": (None, None)}
     assert paged.where_clause({"cb": "3", "boro": 1, "n": "O'x"}) == "cb='3' AND boro=1 AND n='O''x'"
+
+
+def test_deliveries(spark):
+    def send(row):
+        if row["n"] == 3:
+            raise OSError("no network")
+        return 201 if row["n"] < 3 else 404
+
+    answers = delivery.deliver(spark.range(1, 5).selectExpr("cast(id as string) AS id", "id AS n"), "id", send)
+    assert sorted((r.id, r.code, r.error) for r in answers.collect()) == [("1", 201, None), ("2", 201, None), ("3", None, "no network"), ("4", 404, None)]
+    assert tuple(delivery.delivered(answers).first()) == (2, 1, 1)
+
+
+def test_sync_and_envelope(spark, tmp_path):
+    store = tables.Tables(spark, str(tmp_path))
+    acts = spark.createDataFrame([("1",)], "id string").selectExpr("id", *[f"'' AS {c}" for c in ("date", "treeId", "species", "address", "activitiesDone", "durationMinutes", "scrapedAt")])
+    trees = spark.createDataFrame([("7", "1", "2", "", "")], "treeId string, latitude string, longitude string, address string, species string")
+    assert store.sync(acts, trees) == (1, 1) and store.sync(acts, trees) == (0, 0)
+    told = tables.envelope(store.read("trees"), "paginated").first()
+    assert (told["count"], told.strategy, len(told.activities)) == (1, "paginated", 1)
+    assert problems(spark) == []
