@@ -8,23 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions.values import first_given, text_of, without_commas
-from fieldweave.operators.rows import kept_once
-
-
-def given(column: str) -> Column:
-    return F.col(column).isNotNull() & (F.col(column).cast("string") != "")
+from fieldweave.operators.rows import given, kept_once
 
 
 def incremental_append(incoming: DataFrame, existing: DataFrame, key: str, order: Sequence[Column | str], existing_key: str | None = None) -> DataFrame:
     """The incoming rows to append: those whose key is given and not there yet, the first of each key."""
-    known = existing.select(F.col(existing_key or key).alias(key)).where(given(key))
-    return kept_once(incoming.where(given(key)).join(known, key, "left_anti"), [key], order)
+    known = existing.select(F.col(existing_key or key).alias(key))
+    return kept_once(incoming.where(given(incoming, key)).join(known.where(given(known, key)), key, "left_anti"), [key], order)
 
 
 def missing_keys(rows: DataFrame, key: str, known: DataFrame, known_key: str | None = None) -> DataFrame:
     """Distinct keys of the rows that are not known."""
-    have = known.select(F.col(known_key or key).alias(key)).where(given(key))
-    return rows.select(key).where(given(key)).distinct().join(have, key, "left_anti")
+    have = known.select(F.col(known_key or key).alias(key))
+    return rows.select(key).where(given(rows, key)).distinct().join(have.where(given(have, key)), key, "left_anti")
 
 
 def located(lat: str = "lat", lng: str = "lng") -> Column:

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def given(frame: DataFrame, column: str) -> Column:
+    """The column is not null and, if it is text, not empty."""
+    there = F.col(column).isNotNull()
+    return there & (F.col(column) != "") if dict(frame.dtypes)[column] == "string" else there
+
+
 def normalised_names(frame: DataFrame) -> DataFrame:
     """Column names without a byte order mark, trimmed, in lower case, with _ for spaces."""
     return frame.toDF(*[c.lstrip("﻿").strip().lower().replace(" ", "_") for c in frame.columns])
@@ -60,12 +66,10 @@ def first_nonempty(sources: Sequence[Callable[[], DataFrame]], accept: Callable[
 
 
 def first_nonempty_filter(frame: DataFrame, filters: Sequence[Column]) -> DataFrame:
-    """Rows of the first filter that keeps any, in one plan: only the filters' counts are gathered, one row."""
+    """Rows of the first filter that keeps any, in one plan: which one that is comes from a scalar subquery over the filters' counts."""
     matched = frame.agg(*[F.count_if(f).alias(f"f{i}") for i, f in enumerate(filters)])
-    chosen = F.coalesce(*[F.when(F.col(f"f{i}") > 0, F.lit(i)) for i in range(len(filters))])
-    number = matched.select(chosen.alias("__chosen"))
-    keep = reduce(lambda a, b: a | b, [(F.col("__chosen") == i) & f for i, f in enumerate(filters)])
-    return frame.crossJoin(F.broadcast(number)).where(keep).drop("__chosen")
+    chosen = matched.select(F.coalesce(*[F.when(F.col(f"f{i}") > 0, F.lit(i)) for i in range(len(filters))])).scalar()
+    return frame.where(reduce(lambda a, b: a | b, [(chosen == i) & f for i, f in enumerate(filters)]))
 
 
 def snapshot_order(date: str = "date", key: str = "id") -> list[Column]:
@@ -81,11 +85,10 @@ def kept_once(frame: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     """
     if keep not in ("first", "last"):
         raise ValueError(keep)
-    given = [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]
     rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
     row = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
     chosen = (F.min_by if keep == "first" else F.max_by)(row, rank)
-    return frame.where(reduce(lambda a, b: a & b, given)).groupBy(*keys).agg(chosen.alias("__row")).select("__row.*")
+    return frame.where(reduce(lambda a, b: a & b, [given(frame, k) for k in keys])).groupBy(*keys).agg(chosen.alias("__row")).select("__row.*")
 
 
 def argmax_first(frame: DataFrame, keys: Sequence[str], value: Column, tie: Column, returned: Mapping[str, Column]) -> DataFrame:

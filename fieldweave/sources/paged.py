@@ -53,8 +53,8 @@ def paged_source(name: str, fetch: Fetch) -> type[DataSource]:
 def until_short(pages: DataFrame, limit: int) -> DataFrame:
     """Records of pages up to the first that is short by its raw count, as a reader that stops there would have them."""
     sizes = pages.groupBy("offset").agg(F.count(F.lit(1)).alias("n"))
-    stop = sizes.agg(F.min(F.when(F.col("n") < limit, F.col("offset"))).alias("stop"))
-    return pages.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("offset") <= F.col("stop"))).drop("stop")
+    stop = sizes.agg(F.min(F.when(F.col("n") < limit, F.col("offset")))).scalar()
+    return pages.where(stop.isNull() | (F.col("offset") <= stop))
 
 
 def lookup_each(keys: DataFrame, key: str, fetch_one: Callable[[str], dict | None], schema: str) -> DataFrame:
