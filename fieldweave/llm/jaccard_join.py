@@ -24,51 +24,24 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import WORD, cut, reduced, shuffle_partitions, spread, table, written
+from fieldweave.llm.common import cut, reduced, shuffle_partitions, spread, table, written
 from fieldweave.llm.components import components
+from fieldweave.llm.words import Words, blocks, mixed, rolling
 
-_WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; known ones are kept up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(text: str | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
+def shingles(text: str | None, words: Words, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = hashes.of(_WORD.findall(text or ""))
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    rolled = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        rolled = rolled * _ODD + words[k : k + len(rolled)]
-    return np.unique(mixed(rolled))
+    codes = words.one(text)
+    return np.unique(rolling(codes, min(n, len(codes)))) if len(codes) else codes
 
 
 class MinHash:
@@ -78,22 +51,49 @@ class MinHash:
         self.term = rng.integers(0, 1 << 63, values, dtype=np.uint64)
 
     def of(self, found: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.factor), 0xFFFFFFFF, dtype=np.uint64)
-        for i in range(0, len(found), 2048):
-            part = found[i : i + 2048, None] * self.factor
-            part += self.term
-            out = np.minimum(out, (part >> np.uint64(32)).min(axis=0))
-        return out.astype(np.uint32)
+        """The values of one text's shingles."""
+        return self.of_many(found, np.zeros(1, dtype=np.int64))[0]
+
+    def of_many(self, found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row of values for each text; the texts' shingles stand one behind another."""
+        out = np.empty((len(starts), len(self.factor)), dtype=np.uint32)
+        for k, (factor, term) in enumerate(zip(self.factor, self.term)):
+            hashed = found * factor
+            hashed += term
+            hashed >>= np.uint64(32)
+            out[:, k] = np.minimum.reduceat(hashed, starts)
+        return out
 
     def bands(self, values: np.ndarray, rows: int) -> np.ndarray:
-        """One 64-bit bucket for each band."""
-        parts = values[: len(values) // rows * rows].reshape(-1, rows).astype(np.uint64)
-        out = np.arange(1, len(parts) + 1, dtype=np.uint64)
+        """64-bit buckets by text and band, of values by text."""
+        count = values.shape[1] // rows
+        parts = values[:, : count * rows].reshape(len(values), count, rows).astype(np.uint64)
+        out = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(values), 1))
         for k in range(rows):
-            out = mixed(out * _ODD + parts[:, k])
+            out = mixed(out * _ODD + parts[:, :, k])
         return out.astype(np.int64)
 
 
+def signatures(texts: list[str | None], words: Words, minhash: MinHash, n: int, band_rows: int, least_words: int) -> tuple[np.ndarray, list]:
+    """Number of shingles and bands of each text; 0 and none for texts of fewer than least_words words, or none."""
+    sizes, bands = np.zeros(len(texts), dtype=np.int32), [[]] * len(texts)
+    for first, some in blocks(texts):
+        codes, length = words.of(some)
+        begin = np.cumsum(length) - length
+        long = np.flatnonzero(length >= max(n, least_words))
+        if len(long):
+            rolled = rolling(codes, n)
+            count = length[long] - n + 1
+            starts = np.cumsum(count) - count
+            at = np.repeat(begin[long] - starts, count) + np.arange(count.sum())
+            for row, size, own in zip(first + long, count, minhash.bands(minhash.of_many(rolled[at], starts), band_rows)):
+                sizes[row], bands[row] = size, own
+        for k in np.flatnonzero((length > 0) & (length >= least_words) & (length < n)):  # shorter than a shingle
+            whole = rolling(codes[begin[k] : begin[k] + length[k]], length[k])
+            sizes[first + k], bands[first + k] = 1, minhash.bands(minhash.of(whole)[None, :], band_rows)[0]
+    return sizes, bands
+
+
 def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     """The fewest equal values of so many at which the posterior of similarity >= threshold reaches the tolerance."""
     below = 0.0
@@ -168,17 +168,9 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     kinds = dict(flat.dtypes)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, minhash = WordHashes(), MinHash(values)
+        words, minhash = Words(), MinHash(values)
         for batch in batches:
-            sizes, bands = [], []
-            for text in batch["text"]:
-                if least_words and (not text or len(_WORD.findall(text)) < least_words):
-                    sizes.append(0)
-                    bands.append([])
-                    continue
-                found = shingles(text, hashes, n)
-                sizes.append(len(found))
-                bands.append(minhash.bands(minhash.of(found), band_rows) if len(found) else [])
+            sizes, bands = signatures(batch["text"].tolist(), words, minhash, n, band_rows, least_words)
             yield batch.drop(columns="text").assign(size=sizes, bands=bands)
 
     signed = written(spread(flat).mapInPandas(sign, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", digest binary, size int, bands array<long>"))
@@ -217,10 +209,10 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").reset_index(drop=True)
-        hashes, minhash, comparer = WordHashes(), MinHash(values), Comparer(threshold, tolerance, values, step)
+        words, minhash, comparer = Words(), MinHash(values), Comparer(threshold, tolerance, values, step)
         out = []
         for _, part in rows.groupby("component"):
-            sets = [shingles(t, hashes, n) for t in part["text"]]
+            sets = [shingles(t, words, n) for t in part["text"]]
             signs = np.array([minhash.of(s) for s in sets])
             node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
             i, j = part["i"].iloc[0], part["j"].iloc[0]

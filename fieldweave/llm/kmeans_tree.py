@@ -194,7 +194,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
                 own += [(i, v, g, ls) for g, ls in by_group.items()]
             yield pd.DataFrame(own, columns=["id", "v", "grp", "leaves"])
 
-    walks = cut(spread(asked).mapInPandas(walk, "id long, v array<double>, grp int, leaves array<int>"))
+    walks = cut(asked.mapInPandas(walk, "id long, v array<double>, grp int, leaves array<int>"))
     placed = placed.withColumn("grp", F.floor(F.col("leaf") / together).cast("int"))
     parts = {r.grp: -(-r["count"] // cell_rows) for r in placed.groupBy("grp").count().collect()}
     query_parts = {r.grp: -(-r["count"] // cell_queries) for r in walks.groupBy("grp").count().collect()}

@@ -6,11 +6,11 @@ tuned for high recall, paragraphs that collide in a band are joined, exact Jacca
 smallest document id; the others are removed.
 
 A passage can also lie inside paragraphs that are otherwise different. So each text is further covered
-by overlapping short paragraphs of ``window`` words that begin where the hash of such a paragraph is
-the smallest around: two texts with a common run of ``least_words`` words have one of them in common.
-They are banded by all their words (one band), equal ones are joined to the first of them, neighbours
-on one diagonal are put together, and word by word comparison with the first document's words gives
-the exact extent. Runs of at least ``least_words`` equal words are removed.
+by short paragraphs of ``window`` words that begin where the hash of such a paragraph is the smallest
+around: two texts with a common run of ``least_words`` words have one of them in common. They are
+banded by all their words (one band). Around those that two documents share, every run of
+``least_words`` words is looked at as a paragraph of its own: runs that an earlier document has are
+removed, so the extent of a passage is exact to the word.
 
 What is removed always has an equal or similar passage in a document with a smaller id; passages that
 repeat within one document only are left alone. Words are runs of characters other than white space.
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import WORD, cut, reduced, spread, table, written
-from fieldweave.llm.jaccard_join import WordHashes, mixed, similar
+from fieldweave.llm.jaccard_join import similar
+from fieldweave.llm.words import Words, blocks, rolling
 
 _WORD = re.compile(WORD)
-_FACTOR = 0x9E3779B97F4A7C15
+_RUNS, _WHOLE = -1, -2  # what a case is that is no line
 
 
 def tuned_rows(values: int, threshold: float, recall: float) -> int:
@@ -43,34 +44,25 @@ def tuned_rows(values: int, threshold: float, recall: float) -> int:
     return max(fine, default=1)
 
 
-def anchors(words: np.ndarray, window: int, around: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where short paragraphs begin, and their hashes: of every ``around`` neighbouring begins, that of the smallest hash."""
-    count = len(words) - window + 1
-    if count < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    rolled = np.zeros(count, dtype=np.uint64)
-    factor = np.uint64(_FACTOR)
-    for k in range(window):
-        rolled = rolled * factor + words[k : k + count]
-    rolled = mixed(rolled)
-    views = np.lib.stride_tricks.sliding_window_view(rolled, min(around, count))
-    at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
-    return at, rolled[at]
+def _slide(x: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """The best of every run of so many neighbours, by doubling."""
+    n = 1
+    while n * 2 <= window:
+        x = best(x[: len(x) - n], x[n:])
+        n *= 2
+    return best(x[: len(x) - (window - n)], x[window - n :]) if n < window else x
 
 
-def equal_runs(words: list[str], first: list[str], shift: int, least: int, begin: int, end: int) -> list[tuple[int, int]]:
-    """Runs of equal words, at least that many, that meet [begin, end); words[i + shift] is compared with first[i]."""
-    low, high = max(0, -shift), min(len(first), len(words) - shift)
-    out, start = [], None
-    for i in range(low, high + 1):
-        same = i < high and words[i + shift] == first[i]
-        if same and start is None:
-            start = i
-        elif not same and start is not None:
-            if i - start >= least and start + shift < end and i + shift > begin:
-                out.append((start + shift, i + shift))
-            start = None
-    return out
+def anchors(words: np.ndarray, window: int, around: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where short paragraphs begin, and their hashes: of every ``around`` neighbouring begins, those of the smallest hash."""
+    rolled = rolling(words, window)
+    if not len(rolled):
+        return np.zeros(0, dtype=np.int64), rolled
+    width = min(around, len(rolled))
+    least = _slide(rolled, width, np.minimum)
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == rolled)
+    return at, rolled[at]
 
 
 def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, window: int = 16, threshold: float = 0.8, values: int = 27, recall: float = 0.998) -> DataFrame:
@@ -87,56 +79,54 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     classes = similar(lines, ["id", "line"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words)
     similar_lines = classes.where((F.col("size") > 0) & (F.col("class_key.id") != F.col("id"))).select("id", "line", F.col("class_key.id").alias("kept"))
 
-    # Short paragraphs at anchors.
+    # Equal texts: the one of the smallest id stays, and only it is looked at further.
+    digests = cut(flat.select("id", F.md5(F.col("text").cast("binary")).alias("digest")))
+    copied = cut(digests.groupBy("digest").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("digest", "kept"))
+    copies = cut(digests.join(copied, "digest").where("id <> kept").select("id", "kept").distinct())
+
+    # Short paragraphs at anchors, and which of them different texts share.
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        words = Words()
         for batch in batches:
-            ids, places, codes = [], [], []
-            for i, text in zip(batch["id"], batch["text"]):
-                at, code = anchors(hashes.of(_WORD.findall(text)), window, around)
-                ids += [i] * len(at)
-                places.append(at)
-                codes.append(code)
-            yield pd.DataFrame({"id": ids, "at": np.concatenate(places).astype(np.int32), "code": np.concatenate(codes).astype(np.int64)})
-
-    short = written(spread(flat).mapInPandas(cover, f"id {kind}, at int, code long"))
-    first = short.groupBy("code").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-    first = cut(first.select("code", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")))
-    met = short.join(first, "code").where("id <> first_id").select("id", "at", "first_id", (F.col("at") - F.col("first_at")).alias("diagonal"))
-    along = Window.partitionBy("id", "first_id", "diagonal").orderBy("at")
-    apart = F.coalesce((F.col("at") - F.lag("at").over(along) > around).cast("int"), F.lit(0))
-    runs = (
-        met.distinct()
-        .withColumn("apart", apart)
-        .withColumn("run", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "first_id", "diagonal", "run")
-        .agg(F.min("at").alias("begin"), (F.max("at") + window).alias("end"))
-    )
-    # The first document's words from least_words before a run to least_words behind it.
-    runs = cut(runs.select("id", "first_id", "begin", "end", (F.col("begin") - F.col("diagonal") - least_words).alias("from"), (F.col("end") - F.col("diagonal") + least_words).alias("to")))
-    wanted = runs.select(F.col("first_id").alias("id"), "from", "to").distinct().groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
-    wanted = cut(wanted)
-    keepers = reduced(flat, wanted, ["id"]).join(wanted, "id").select("id", "text", "parts")
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for begin, texts in blocks(batch["text"].tolist(), 4_000_000):
+                codes, counts = words.of(texts)
+                found = [anchors(own, window, around) for own in np.split(codes, np.cumsum(counts)[:-1])]
+                sizes = [len(at) for at, _ in found]
+                rows = batch.iloc[begin : begin + len(texts)]
+                yield pd.DataFrame({"id": rows["id"].repeat(sizes), "which": rows["which"].repeat(sizes), "at": np.concatenate([at for at, _ in found]).astype(np.int32), "code": np.concatenate([c for _, c in found]).astype(np.int64)})
+
+    short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long"))
+    shared = cut(short.groupBy("code").agg(F.min("which").alias("low"), F.max("which").alias("high")).where("low <> high").select("code"))
+    around_here = cut(short.join(shared, "code").groupBy("id").agg(F.collect_list("at").alias("places")).join(copies, "id", "left_anti"))
+
+    # Every run of least_words words around them.
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
         for batch in batches:
-            rows = []
-            for i, text, parts in zip(batch["id"], batch["text"], batch["parts"]):
-                words = _WORD.findall(text)
-                rows += [(i, p["from"], p["to"], " ".join(words[max(0, p["from"]) : p["to"]])) for p in parts]
-            yield pd.DataFrame(rows, columns=["first_id", "from", "to", "words"])
-
-    parts = cut(keepers.mapInPandas(take, f"first_id {kind}, from int, to int, words string"))
-    runs_told = runs.join(parts, ["first_id", "from", "to"]).select("id", F.struct(F.col("first_id").alias("kept"), "begin", "end", "from", "words", F.lit(-1).alias("line")).alias("case"))
-    lines_told = similar_lines.select("id", F.struct("kept", F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit(0).alias("from"), F.lit("").alias("words"), "line").alias("case"))
-    # A case is a run with the keeper's words, or a line of its own if line is not -1.
-    cases = cut(runs_told.union(lines_told).groupBy("id").agg(F.collect_list("case").alias("cases")))
+            for begin in range(0, len(batch), 512):
+                ids, places, codes = [], [], []
+                for i, text, at in batch.iloc[begin : begin + 512].itertuples(index=False):
+                    rolled = rolling(words.one(text), least_words)
+                    begins = (np.unique(at)[:, None] - np.arange(around)).ravel()
+                    begins = np.unique(begins[(begins >= 0) & (begins < len(rolled))])
+                    ids.append(np.repeat(i, len(begins)))
+                    places.append(begins)
+                    codes.append(rolled[begins])
+                yield pd.DataFrame({"id": np.concatenate(ids), "at": np.concatenate(places).astype(np.int32), "code": np.concatenate(codes).astype(np.int64)})
+
+    looked_at = reduced(flat, around_here, ["id"]).join(around_here, "id").select("id", "text", "places")
+    whole = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
+    first = cut(whole.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
+    none = F.expr("cast(array() as array<int>)")
+    later = whole.join(first, "code").where("id <> kept").groupBy("id", "kept").agg(F.collect_list("at").alias("ats"))
+    told = later.select("id", "kept", "ats", F.lit(_RUNS).alias("line")).union(similar_lines.select("id", "kept", none, "line")).union(copies.select("id", "kept", none, F.lit(_WHOLE)))
+    cases = cut(told.groupBy("id").agg(F.collect_list(F.struct("kept", "ats", "line")).alias("cases")))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text, told in zip(batch["id"], batch["text"], batch["cases"]):
-                rows += [(i, *span) for span in spans(text, told, least_words)]
+            for i, text, own in zip(batch["id"], batch["text"], batch["cases"]):
+                rows += [(i, *span) for span in spans(text, own, least_words)]
             yield pd.DataFrame(rows, columns=["id", "start", "end", "n_words", "kept_id"])
 
     out = reduced(flat, cases, ["id"]).join(cases, "id").select("id", "text", "cases")
@@ -144,29 +134,24 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def spans(text: str, cases: list, least_words: int) -> list[tuple[int, int, int, object]]:
-    """Disjoint spans of the text: start, end, words, document that keeps them."""
+    """Disjoint spans of the text: start, end, words, document that keeps their begin. A case is a line, the whole text, or begins of repeated runs."""
     found = list(_WORD.finditer(text))
-    words = [m.group() for m in found]
     begins = np.array([m.start() for m in found])
-    lines: list[tuple[int, int]] = []
-    at = 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line)))
-        at += len(line) + 1
+    ends = np.cumsum([len(line) + 1 for line in text.split("\n")])
     hits = []
     for case in cases:
-        if case["line"] >= 0:
-            if case["line"] < len(lines):
-                low, high = np.searchsorted(begins, lines[case["line"]])
-                hits.append((int(low), int(high), case["kept"]))
-        else:
-            shift = case["begin"] - (case["from"] + least_words) + max(0, case["from"])
-            hits += [(*run, case["kept"]) for run in equal_runs(words, case["words"].split(" "), shift, least_words, case["begin"], case["end"])]
+        if case["line"] == _WHOLE:
+            hits += [(0, len(found), case["kept"])] if len(found) >= least_words else []
+        elif case["line"] == _RUNS:
+            hits += [(at, at + least_words, case["kept"]) for at in case["ats"].tolist() if at + least_words <= len(found)]
+        elif case["line"] < len(ends):
+            low, high = np.searchsorted(begins, (ends[case["line"]] - len(text.split("\n")[case["line"]]) - 1, ends[case["line"]]))
+            hits.append((int(low), int(high), case["kept"]))
     out: list[list] = []
-    for begin, end, kept in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
+    for begin, end, kept in sorted(hits):
         if begin >= end:
             continue
-        if out and begin < out[-1][1]:
+        if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([begin, end, kept])
