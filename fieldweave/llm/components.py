@@ -20,13 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     least = down.groupBy("a").agg(F.min("b").alias("least"))
     taken = down.join(least, "a")
     one_way = taken.select("a", F.col("least").alias("b")).union(taken.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
-    both = cut(one_way.union(one_way.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    node = one_way.select("a").union(one_way.select("b")).select(F.col("a"), F.col("a").alias("b"))  # each is its own neighbour
+    both = cut(one_way.union(one_way.select("b", "a")).union(node).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("label")))
+    rounds = 0
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread_once = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
-        jump = spread_once.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = cut(spread_once.join(jump, "label").select("node", F.least("label", "further").alias("label"), "was"))
-        labels = moved.select("node", "label")
-        if moved.where("label <> was").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a")
+        spread_once = cut(near.agg(F.min("label").alias("label"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was")))
+        if spread_once.where("label <> was").isEmpty():
+            return spread_once.select(F.col("a").alias("node"), F.col("label").alias("component"))
+        labels, rounds = spread_once.select("a", "label"), rounds + 1
+        if rounds > 1:  # wide components: also take the label of one's label
+            jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
+            labels = cut(labels.join(jump, "label").select("a", F.least("label", "further").alias("label")))

@@ -158,10 +158,11 @@ class Comparer:
         return out
 
 
-def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, step: int = 25, block_rows: int = 500, block_shingles: int = 2_000_000, least_words: int = 0) -> DataFrame:
+def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, step: int = 25, block_rows: int = 500, block_shingles: int = 2_000_000, least_words: int = 0, only_linked: bool = False) -> DataFrame:
     """keys, digest, class_key (struct of the class's smallest keys), n_links, copies for every row of units.
 
-    Texts of fewer than ``least_words`` words are in classes by equality only.
+    Texts of fewer than ``least_words`` words are in classes by equality only. With ``only_linked`` rows that are
+    linked to no other are left out.
     """
     spark = units.sparkSession
     flat = units.select(*keys, F.unhex(F.md5(F.col(text_column).cast("binary"))).alias("digest"), F.col(text_column).alias("text"))
@@ -241,7 +242,11 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     told = cut(told)
     named = told.groupBy("component").agg(F.min("key").alias("class_key"))
     told = cut(told.select("digest", "copies", "component", "n_links").join(cut(named), "component"))
-    return signed.select(*keys, "digest", "size").join(told.select("digest", "copies", "n_links", "class_key"), "digest", "left").select(
+    rows, how = signed.select(*keys, "digest", "size"), "left"
+    if only_linked:
+        told = told.where("n_links > 0")
+        rows, how = reduced(rows, told, ["digest"]), "inner"
+    return rows.join(told.select("digest", "copies", "n_links", "class_key"), "digest", how).select(
         *keys, "digest", "size", F.coalesce("class_key", key).alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 

@@ -31,6 +31,7 @@ from fieldweave.llm.common import spread, table
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTERS = 256  # letters beyond share vectors
+_BLOCK = 256  # texts looked at together
 
 
 class Space:
@@ -68,16 +69,17 @@ def profiles(labelled: DataFrame, space: Space, lang_column: str = "lang", text_
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = [space.grams(t) for t in texts]
-                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "gram": codes, "n": np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype("int64")})
+                for i in range(0, len(texts), _BLOCK):
+                    found = [space.grams(t) for t in texts.iloc[i : i + _BLOCK]]
+                    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                    yield pd.DataFrame({"lang": lang, "gram": codes, "n": np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype("int64")})
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                for i in range(0, len(rows), 4096):
-                    part = rows.iloc[i : i + 4096]
+                for i in range(0, len(rows), 1024):
+                    part = rows.iloc[i : i + 1024]
                     own = part["n"].to_numpy(dtype=np.float64) @ space.vectors(part["gram"].to_numpy()).astype(np.float64)
                     sums[lang] = sums.get(lang, 0) + own
         for lang, total in sums.items():
@@ -102,7 +104,7 @@ def predictor(labelled: DataFrame, lang_column: str = "lang", text_column: str =
         codes = np.concatenate([c for c, _ in found])
         new = np.setdiff1d(codes, known)
         if len(new):
-            made = np.concatenate([space.vectors(new[i : i + 4096]).astype(np.float32) @ prototypes.T for i in range(0, len(new), 4096)])
+            made = np.concatenate([space.vectors(new[i : i + 1024]).astype(np.float32) @ prototypes.T for i in range(0, len(new), 1024)])
             known, products = np.concatenate([known, new]), np.concatenate([products, made])
             order = np.argsort(known)
             known, products = known[order], products[order]
@@ -120,13 +122,13 @@ def predictor(labelled: DataFrame, lang_column: str = "lang", text_column: str =
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, products = np.zeros(0, dtype=np.int64), np.zeros((0, len(langs)))
         for texts in batches:
-            if not len(texts):
-                yield pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-                continue
-            out, known, products = judged(texts, known, products)
-            if len(known) > 500_000:  # texts in many scripts: start over, so that memory stays bounded
-                known, products = known[:0], products[:0]
-            yield out
+            parts = [pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})]
+            for i in range(0, len(texts), _BLOCK):
+                out, known, products = judged(texts.iloc[i : i + _BLOCK], known, products)
+                parts.append(out)
+                if len(known) > 500_000:  # texts in many scripts: start over, so that memory stays bounded
+                    known, products = known[:0], products[:0]
+            yield pd.concat(parts[1:] or parts, ignore_index=True)
 
     return predict
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from fieldweave.llm.common import WORD, cut, spread, table
 
 _WORD = re.compile(WORD)
+_FEW_HOSTS = 100_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,6 +79,8 @@ def keep_passed(docs: DataFrame, host_column: str = "source", text_column: str =
     measured = spread(docs).withColumn("__m", measures(F.col(text_column))).withColumn("__failed", base_failed("__m", least_words, repeat_percent))
     rows = cut(measured.select(F.col(host_column).alias("host"), F.col("__failed").alias("base_failed")))
     rejected = cut(host_rates(rows).where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("__host")))
+    if rejected.count() <= _FEW_HOSTS:  # then texts need not be shuffled by host
+        rejected = F.broadcast(rejected)
     return measured.where(~F.col("__failed")).join(rejected, F.col(host_column) == F.col("__host"), "left_anti").select(*docs.columns)
 
 

@@ -76,19 +76,19 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     # Paragraphs: similar lines of different documents. Fifty words have ninety-nine characters at least.
     lines = flat.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length("text") >= 2 * least_words - 1)
-    classes = similar(lines, ["id", "line"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words)
+    classes = similar(lines, ["id", "line"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words, only_linked=True)
     similar_lines = classes.where((F.col("size") > 0) & (F.col("class_key.id") != F.col("id"))).select("id", "line", F.col("class_key.id").alias("kept"))
 
     # Equal texts: the one of the smallest id stays, and only it is looked at further.
     digests = cut(flat.select("id", F.md5(F.col("text").cast("binary")).alias("digest")))
     copied = cut(digests.groupBy("digest").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("digest", "kept"))
-    copies = cut(digests.join(copied, "digest").where("id <> kept").select("id", "kept").distinct())
+    copies = cut(digests.join(copied, "digest").where("id <> kept").select("id", "kept"))
 
     # Short paragraphs at anchors, and which of them different texts share.
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
-            for begin, texts in blocks(batch["text"].tolist(), 4_000_000):
+            for begin, texts in blocks(batch["text"].tolist(), 1_000_000):
                 codes, counts = words.of(texts)
                 found = [anchors(own, window, around) for own in np.split(codes, np.cumsum(counts)[:-1])]
                 sizes = [len(at) for at, _ in found]
@@ -97,7 +97,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long"))
     shared = cut(short.groupBy("code").agg(F.min("which").alias("low"), F.max("which").alias("high")).where("low <> high").select("code"))
-    around_here = cut(short.join(shared, "code").groupBy("id").agg(F.collect_list("at").alias("places")).join(copies, "id", "left_anti"))
+    around_here = cut(reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list("at").alias("places")).join(copies, "id", "left_anti"))
 
     # Every run of least_words words around them.
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
