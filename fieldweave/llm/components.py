@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     # neighbours: the same components with about one edge a node.
     down = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     least = down.groupBy("a").agg(F.min("b").alias("least"))
-    taken = down.join(least, "a")
-    one_way = taken.select("a", F.col("least").alias("b")).union(taken.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
-    node = one_way.select("a").union(one_way.select("b")).select(F.col("a"), F.col("a").alias("b"))  # each is its own neighbour
-    both = cut(one_way.union(one_way.select("b", "a")).union(node).distinct())
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    own = F.array(pair("a", "least"), pair("least", "a"), pair("a", "a"), pair("least", "least"))  # each is its own neighbour, too
+    taken = F.when(F.col("b") == F.col("least"), own).otherwise(F.concat(own, F.array(pair("b", "least"), pair("least", "b"), pair("b", "b"))))
+    both = cut(down.join(least, "a").select(F.explode(taken).alias("e")).select("e.a", "e.b").distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("label")))
     rounds = 0
     while True:
