@@ -14,7 +14,10 @@ the suffix array. Where a page has an article, blocks outside it are not main te
 Sorting needs the first ``least_run`` tokens of a suffix only: substrings of at least that length are
 repeated where those are, so ranks are doubled up to that length and no further.
 
-Hosts with very many pages are dealt into parts, none above a quarter of a mean partition.
+Hosts with very many pages are dealt into parts, none above a quarter of a mean partition. What is
+repeated is still decided over the whole host: hashes of the runs of ``least_run`` tokens on pages that
+need the verdict (those without an article) are looked for on all pages of the host, and each part gets
+those of its runs that two distinct pages have, wherever these are.
 
 Null html gives an empty text, a null url counts as a host without name. Very long pages are read
 whole, unclosed elements and comments reach to the end. Repeated rows keep a row each; an empty table
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, shuffle_partitions, table
+from fieldweave.llm.common import cut, reduced, shuffle_partitions, table, written
+from fieldweave.llm.words import rolling
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)""",
@@ -147,8 +152,11 @@ class TokenHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-def repeated(streams: list[np.ndarray], least_run: int) -> list[np.ndarray]:
-    """For each stream, which of its tokens lie in a run of least_run tokens or more that another, different stream also has."""
+def repeated(streams: list[np.ndarray], least_run: int, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each stream, which of its tokens lie in a run of least_run tokens or more that another, different stream also has.
+
+    ``elsewhere`` has the hashes of runs of least_run tokens that are repeated by streams that are not given.
+    """
     keys = [s.tobytes() for s in streams]
     content = {k: i for i, k in enumerate(dict.fromkeys(keys))}
     page = np.repeat([content[k] for k in keys], [len(s) + 1 for s in streams])
@@ -170,6 +178,9 @@ def repeated(streams: list[np.ndarray], least_run: int) -> list[np.ndarray]:
     low, high = np.minimum.reduceat(page[suffixes], starts), np.maximum.reduceat(page[suffixes], starts)
     shared = np.zeros(len(tokens), dtype=bool)
     shared[suffixes] = np.repeat(low != high, np.diff(starts, append=len(tokens)))
+    if elsewhere is not None and len(elsewhere):
+        for s, e in zip(streams, ends):
+            shared[e - len(s) : e - len(s) + max(len(s) - least_run + 1, 0)] |= np.isin(rolling(s, least_run).view(np.int64), elsewhere)
     within = np.zeros(len(tokens) + 1, dtype=np.int64)
     first = np.flatnonzero(shared)
     np.add.at(within, first, 1)
@@ -178,18 +189,28 @@ def repeated(streams: list[np.ndarray], least_run: int) -> list[np.ndarray]:
     return [covered[e - len(s) : e] for s, e in zip(streams, ends)]
 
 
-def main_texts(pages: list[str | None], least_run: int = 8, covered_share: float = 0.8) -> list[str]:
-    """The main texts of pages of one host."""
+def stream(own: list[Block], hashes: TokenHashes) -> tuple[np.ndarray, list[int]]:
+    """The tokens of a page's blocks and how many each block has."""
+    words = [[b.marker, *b.text.split(" ")] for b in own]
+    return hashes.of([w for ws in words for w in ws]) | np.uint64(1), [len(w) for w in words]
+
+
+def has_article(own: list[Block]) -> bool:
+    return any(b.zone == MAIN for b in own)
+
+
+def main_texts(pages: list[str | None], least_run: int = 8, covered_share: float = 0.8, elsewhere: np.ndarray | None = None) -> list[str]:
+    """The main texts of pages of one host; ``elsewhere`` as in repeated."""
     hashes = TokenHashes()
     parsed = [[b for b in blocks(p) if b.zone != OUT] for p in pages]
     streams, lengths = [], []
     for own in parsed:
-        words = [[b.marker, *b.text.split(" ")] for b in own]
-        lengths.append([len(w) for w in words])
-        streams.append(hashes.of([w for ws in words for w in ws]) | np.uint64(1))
+        tokens, sizes = stream(own, hashes)
+        lengths.append(sizes)
+        streams.append(tokens)
     out = []
-    for own, size, covered in zip(parsed, lengths, repeated(streams, least_run) if streams else []):
-        if any(b.zone == MAIN for b in own):
+    for own, size, covered in zip(parsed, lengths, repeated(streams, least_run, elsewhere) if streams else []):
+        if has_article(own):
             kept = [b for b in own if b.zone == MAIN]
         else:
             ends = np.cumsum(size)
@@ -198,6 +219,44 @@ def main_texts(pages: list[str | None], least_run: int = 8, covered_share: float
     return out
 
 
+def runs(pages: DataFrame, least_run: int, articles: bool) -> DataFrame:
+    """site, part, code (hash of a run of least_run tokens) and page (hash of its tokens): the distinct runs of each page with or without an article."""
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = TokenHashes()
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                rows = batch.iloc[begin : begin + 256]
+                codes, names = [], []
+                for page in rows["html"]:
+                    own = [b for b in blocks(page) if b.zone != OUT]
+                    tokens = stream(own, hashes)[0] if has_article(own) == articles else np.zeros(0, dtype=np.uint64)
+                    codes.append(np.unique(rolling(tokens, least_run).view(np.int64)))
+                    names.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
+                sizes = [len(c) for c in codes]
+                page = np.repeat(np.array(names, dtype=np.uint64).view(np.int64), sizes)
+                yield pd.DataFrame({"site": rows["site"].repeat(sizes), "part": rows["part"].repeat(sizes), "code": np.concatenate(codes), "page": page})
+
+    return pages.select("site", "part", "html").mapInPandas(cover, "site long, part long, code long, page long")
+
+
+def repeated_elsewhere(dealt: DataFrame, large: DataFrame, least_run: int) -> DataFrame | None:
+    """host, part and code of the runs of pages without an article that two distinct pages of a host dealt into parts have. None where there are no such runs.
+
+    A run on very many pages is one row a task before the shuffle, and one row a part after it.
+    """
+    split = dealt.where("parts is not null").withColumn("site", F.xxhash64("host"))
+    asked = written(runs(split, least_run, False))
+    if asked.isEmpty():
+        return None
+    keys = ["site", "code"]
+    first_last = [F.min("page").alias("low"), F.max("page").alias("high")]
+    wanted = cut(asked.groupBy(*keys, "part").agg(*first_last))
+    others = reduced(runs(split, least_run, True), wanted.select(*keys).distinct(), keys).groupBy(*keys).agg(*first_last)
+    found = wanted.select(*keys, "low", "high").union(others).groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    return wanted.select(*keys, "part").join(found.select(*keys), keys).join(F.broadcast(large.select(F.xxhash64("host").alias("site"), "host")), "site").select("host", "part", "code")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_run: int = 8) -> DataFrame:
     """id, url, text and n_chars of every page."""
     spark = pages.sparkSession
@@ -215,12 +274,18 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     large = sizes.where(F.col("bytes") > most).select("host", F.ceil(F.col("bytes") / most).cast("int").alias("parts"))
     dealt = named.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts(list(rows["html"]), least_run)
+    def run(rows: pd.DataFrame, elsewhere: np.ndarray | None = None) -> pd.DataFrame:
+        texts = main_texts(list(rows["html"]), least_run, elsewhere=elsewhere)
         return pd.DataFrame({"id": rows["id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     schema = f"id {kinds['id']}, url string, text string, n_chars long"
-    return dealt.select("id", "url", "html", "host", "part").groupBy("host", "part").applyInPandas(run, schema).withColumnsRenamed({"id": id_column, "url": url_column})
+    grouped = dealt.select("id", "url", "html", "host", "part").groupBy("host", "part")
+    codes = None if large.isEmpty() else repeated_elsewhere(dealt, large, least_run)
+    if codes is None:
+        out = grouped.applyInPandas(lambda rows: run(rows), schema)
+    else:
+        out = grouped.cogroup(codes.groupBy("host", "part")).applyInPandas(lambda rows, own: run(rows, own["code"].to_numpy()), schema)
+    return out.withColumnsRenamed({"id": id_column, "url": url_column})
 
 
 def op2_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id or 0, r.text[:3], r.n_chars) for r in html.extract(pages).collect()), key=str)
     assert got == sorted([(1, "a", 1), (2, "", 0), (2, "", 0), (0, "", 0), (4, "w\nw", 39999)], key=str)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_repeats_are_found_over_the_whole_host(spark):
+    notice = "Copyright of the host all rights reserved by us forever"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    page = lambda i, n: f"<div>{own(i)}</div><div>{n}</div>"
+    rows = [(i, f"http://h.example/{i}", page(i, notice if i in (3, 150) else f"only here {own(1000 + i)}")) for i in range(200)]
+    rows += [(200 + i, f"http://h.example/a{i}", f"<article>{own(2000)} {own(2001)}</article>" if i else f"<div>{own(2001)}</div>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = dict(zip([r[0] for r in rows], html.main_texts([r[2] for r in rows])))
+    assert wanted[3] == own(3) and wanted[150] == own(150) and wanted[200] == ""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "16", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert {r.page_id: r.text for r in html.extract(pages).collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
