@@ -1,6 +1,9 @@
 """Removal of passages that repeat across documents, by paragraph MinHash banding.
 
-Paragraphs are the lines of at least ``least_words`` words. Their MinHash values are cut into bands
+Paragraphs are the lines of at least ``least_words`` words, and consecutive shorter lines joined until
+they hold as many. Where shorter lines follow one another for long, joining begins anew at lines whose
+first words have the smallest hash around, so that copies are cut alike. Every shorter line is in one
+joined paragraph, unless the shorter lines it stands among have fewer words together. MinHash values of paragraphs are cut into bands
 tuned for high recall, paragraphs that collide in a band are joined, exact Jaccard similarity of their
 5-word shingles is verified, and connected components of similar paragraphs keep the paragraph of the
 smallest document id; the others are removed.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm.common import WORD, cut, reduced, spread, table, written
 from fieldweave.llm.jaccard_join import similar
-from fieldweave.llm.words import Words, blocks, rolling
+from fieldweave.llm.words import Words, blocks, mixed, rolling
 
 _WORD = re.compile(WORD)
 _RUNS, _WHOLE = -1, -2  # what a case is that is no line
@@ -65,6 +68,59 @@ def anchors(words: np.ndarray, window: int, around: int) -> tuple[np.ndarray, np
     return at, rolled[at]
 
 
+def joined_lines(counts: np.ndarray, heads: np.ndarray, least_words: int) -> list[tuple[int, int]]:
+    """Paragraphs (first line, line behind the last) of at least least_words words made of consecutive shorter lines.
+
+    Lines have these numbers of words and hashes of their first words.
+    """
+    out = []
+    bounds = [-1, *np.flatnonzero(counts >= least_words).tolist(), len(counts)]
+    for before, after in zip(bounds, bounds[1:]):
+        at = before + 1 + np.flatnonzero(counts[before + 1 : after])
+        own, head = counts[at], heads[at]
+        whole = int(own.sum())
+        if whole < least_words:
+            continue
+        done = np.cumsum(own) - own  # words before each line
+        starts = [0]
+        if whole >= 2 * least_words:
+            low, high = np.searchsorted(done, done - least_words, side="right"), np.searchsorted(done, done + least_words)
+            far = np.flatnonzero((done >= least_words) & (whole - done >= least_words))
+            starts += [i for i in far.tolist() if low[i] + head[low[i] : high[i]].argmin() == i]
+        places, words = at.tolist(), [*done.tolist(), whole]
+        for start, stop in zip(starts, [*starts[1:], len(places)]):
+            begin = start
+            for i in range(start + 1, stop):
+                if words[i] - words[begin] >= least_words and words[stop] - words[i] >= least_words:
+                    out.append((places[begin], places[i - 1] + 1))
+                    begin = i
+            out.append((places[begin], places[stop - 1] + 1))
+    return out
+
+
+def joined_paragraphs(docs: DataFrame, least_words: int, head: int = 3) -> DataFrame:
+    """id, line, to (the line behind the last) and text of paragraphs of joined lines."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            for begin, texts in blocks(batch["text"].tolist()):
+                split = [t.split("\n") for t in texts]
+                codes, counts = words.of([line for lines in split for line in lines])
+                first = np.cumsum(counts) - counts
+                padded = np.concatenate([codes, np.zeros(head, dtype=np.uint64)])
+                heads = np.zeros(len(counts), dtype=np.uint64)
+                for k in range(head):
+                    heads = mixed(heads + np.where(counts > k, padded[first + k], np.uint64(0)))
+                rows, at = [], 0
+                for i, lines in zip(batch["id"].iloc[begin : begin + len(texts)], split):
+                    own = slice(at, at := at + len(lines))
+                    rows += [(i, a, b, "\n".join(lines[a:b])) for a, b in joined_lines(counts[own], heads[own], least_words)]
+                yield pd.DataFrame(rows, columns=["id", "line", "to", "text"])
+
+    return docs.select("id", "text").where(F.length("text") >= 2 * least_words - 1).mapInPandas(join, f"id {dict(docs.dtypes)['id']}, line int, to int, text string")
+
+
 def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, window: int = 16, threshold: float = 0.8, values: int = 27, recall: float = 0.998) -> DataFrame:
     """id, start, end (characters), n_words and kept_id (the document that keeps the passage) of what is to be removed.
 
@@ -74,10 +130,11 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = dict(flat.dtypes)["id"]
     around = least_words - window + 1
 
-    # Paragraphs: similar lines of different documents. Fifty words have ninety-nine characters at least.
+    # Paragraphs: similar lines, or joined lines, of different documents. Fifty words have ninety-nine characters at least.
     lines = flat.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length("text") >= 2 * least_words - 1)
-    classes = similar(lines, ["id", "line"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words, only_linked=True)
-    similar_lines = classes.where((F.col("size") > 0) & (F.col("class_key.id") != F.col("id"))).select("id", "line", F.col("class_key.id").alias("kept"))
+    paragraphs = lines.select("id", "line", (F.col("line") + 1).alias("to"), "text").union(joined_paragraphs(spread(flat), least_words))
+    classes = similar(paragraphs, ["id", "line", "to"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words, only_linked=True)
+    similar_lines = classes.where((F.col("size") > 0) & (F.col("class_key.id") != F.col("id"))).select("id", "line", "to", F.col("class_key.id").alias("kept"))
 
     # Equal texts: the one of the smallest id stays, and only it is looked at further.
     digests = cut(flat.select("id", F.md5(F.col("text").cast("binary")).alias("digest")))
@@ -119,8 +176,8 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     first = cut(whole.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
     none = F.expr("cast(array() as array<int>)")
     later = whole.join(first, "code").where("id <> kept").groupBy("id", "kept").agg(F.collect_list("at").alias("ats"))
-    told = later.select("id", "kept", "ats", F.lit(_RUNS).alias("line")).union(similar_lines.select("id", "kept", none, "line")).union(copies.select("id", "kept", none, F.lit(_WHOLE)))
-    cases = cut(told.groupBy("id").agg(F.collect_list(F.struct("kept", "ats", "line")).alias("cases")))
+    told = later.select("id", "kept", "ats", F.lit(_RUNS).alias("line"), F.lit(0).alias("to")).union(similar_lines.select("id", "kept", none, "line", "to")).union(copies.select("id", "kept", none, F.lit(_WHOLE), F.lit(0)))
+    cases = cut(told.groupBy("id").agg(F.collect_list(F.struct("kept", "ats", "line", "to")).alias("cases")))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,7 +191,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def spans(text: str, cases: list, least_words: int) -> list[tuple[int, int, int, object]]:
-    """Disjoint spans of the text: start, end, words, document that keeps their begin. A case is a line, the whole text, or begins of repeated runs."""
+    """Disjoint spans of the text: start, end, words, document that keeps their begin. A case is lines, the whole text, or begins of repeated runs."""
     found = list(_WORD.finditer(text))
     begins = np.array([m.start() for m in found])
     ends = np.cumsum([len(line) + 1 for line in text.split("\n")])
@@ -144,8 +201,8 @@ def spans(text: str, cases: list, least_words: int) -> list[tuple[int, int, int,
             hits += [(0, len(found), case["kept"])] if len(found) >= least_words else []
         elif case["line"] == _RUNS:
             hits += [(at, at + least_words, case["kept"]) for at in case["ats"].tolist() if at + least_words <= len(found)]
-        elif case["line"] < len(ends):
-            low, high = np.searchsorted(begins, (ends[case["line"]] - len(text.split("\n")[case["line"]]) - 1, ends[case["line"]]))
+        elif case["to"] <= len(ends):
+            low, high = np.searchsorted(begins, (ends[case["line"] - 1] if case["line"] else 0, ends[case["to"] - 1]))
             hits.append((int(low), int(high), case["kept"]))
     out: list[list] = []
     for begin, end, kept in sorted(hits):

@@ -93,3 +93,42 @@ def test_any_common_run_has_a_common_anchor():
         run = rng.integers(0, 1 << 60, 50).astype(np.uint64)
         a, b = (np.concatenate([rng.integers(0, 1 << 60, rng.integers(0, 60)).astype(np.uint64), run, rng.integers(0, 1 << 60, rng.integers(0, 60)).astype(np.uint64)]) for _ in "ab")
         assert set(sub.anchors(a, 16, 35)[1].tolist()) & set(sub.anchors(b, 16, 35)[1].tolist())
+
+
+def test_similar_paragraphs_of_short_lines_go(spark):
+    rng = random.Random(8)
+    lines = [words(rng, 30) for _ in range(3)]
+    near = [list(line) for line in lines]
+    near[1][15] = "zzz"
+    told = lambda ls: "\n".join(" ".join(line) for line in ls)
+    long = [words(rng, 60) for _ in range(2)]
+    many = [words(rng, 9) for _ in range(120)]
+    edited = [list(line) for line in many]
+    edited[40][5] = edited[80][5] = "zzz"
+    rows = [(1, told(lines)), (2, told([long[0], *near, long[1]])), (3, told(words(rng, 9) for _ in range(20))), (4, told(many)), (5, told([*(words(rng, 9) for _ in range(15)), *edited]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sub.remove_repeats(docs).collect()}
+    assert [got[i] for i in (1, 3, 4)] == [rows[i - 1][1] for i in (1, 3, 4)]
+    assert got[2] == told(long)
+    assert "zzz" not in got[5] and got[5].startswith(told([rows[4][1].split("\n")[0].split()]))
+
+
+def test_joined_lines_hold_enough_words_and_are_cut_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        counts, heads = rng.integers(0, 60, 300), rng.integers(0, 1 << 60, 300).astype(np.uint64)
+        counts[rng.random(300) < 0.9] %= 12
+        found = sub.joined_lines(counts, heads, 50)
+        assert all(counts[a:b].sum() >= 50 and (counts[a:b] < 50).all() for a, b in found)
+        assert all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+        covered = {i for a, b in found for i in range(a, b)}
+        bounds = [-1, *np.flatnonzero(counts >= 50), 300]
+        for a, b in zip(bounds, bounds[1:]):
+            if counts[a + 1 : b].sum() >= 50:
+                assert {i for i in range(a + 1, b) if counts[i]} <= covered
+    counts, heads = rng.integers(1, 12, 400), rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    alone = {(a + 40, b + 40) for a, b in sub.joined_lines(counts, heads, 50)}
+    within = set(sub.joined_lines(np.concatenate([rng.integers(1, 12, 40), counts]), np.concatenate([rng.integers(0, 1 << 60, 40).astype(np.uint64), heads]), 50))
+    assert len(alone & within) >= 0.8 * len(alone)
