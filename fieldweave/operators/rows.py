@@ -48,6 +48,17 @@ def page(frame: DataFrame, order: Sequence[Column | str], limit: int, offset: in
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
+def key_pages(frame: DataFrame, key: str, pages: int) -> list[DataFrame]:
+    """The whole frame as pages of equal ranges of a whole-numbered key; rows without a key are on the first page."""
+    low, high = frame.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return [frame]
+    bounds = [low + (high - low) * i // pages for i in range(1, pages)]
+    column = F.col(key)
+    inside = [(column > a if a is not None else F.lit(True)) & (column <= b if b is not None else F.lit(True)) for a, b in zip([None, *bounds], [*bounds, None])]
+    return [frame.where(inside[0] | column.isNull()), *[frame.where(c) for c in inside[1:]]]
+
+
 def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
     """All rows of all pages, matched by name; columns that a page lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pages)

@@ -140,6 +140,11 @@ def union_pages(spark, sf_dir):
     return rows.union_pages([rows.page(e, ["event_id"], 200, offset) for offset in (0, 200)])
 
 
+@query("SELECT event_id, event_type FROM events")
+def union_all_pages(spark, sf_dir):
+    return rows.union_pages(rows.key_pages(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 8))
+
+
 @query("SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS status FROM orders ORDER BY date, id")
 def sorted_snapshot(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderstatus").alias("status"))

@@ -90,6 +90,14 @@ def test_task_cards(spark):
     assert (total["count"], total.assignees) == (4, 2)
 
 
+def test_key_pages_hold_every_row(spark):
+    nums = spark.createDataFrame([(k,) for k in (5, 7, 7, 900, None, -3)], "n long")
+    for pages in (1, 3, 8):
+        assert sorted((r.n for r in rows.union_pages(rows.key_pages(nums, "n", pages)).collect()), key=str) == sorted([5, 7, 7, 900, None, -3], key=str)
+    assert rows.union_pages(rows.key_pages(nums.where("n > 1000 or n is null"), "n", 3)).count() == 1
+    assert rows.union_pages(rows.key_pages(nums.limit(0), "n", 3)).count() == 0
+
+
 def test_progress(spark):
     given = spark.createDataFrame([({"a": True, "b": False, "c": None},), ({},)], "p map<string,boolean>")
     done = given.select(groups.checked_tasks(F.col("p")).alias("n"), groups.progress_percent(groups.checked_tasks(F.col("p")).cast("double"), F.size("p")).alias("x")).collect()
