@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.dates import due_label
@@ -12,28 +13,60 @@ from fieldweave.functions.values import first_given, plural, text_of
 
 
 def group_collect(rows: DataFrame, key: Column, order: Sequence[Column], item: Column, key_name: str = "key") -> DataFrame:
-    """key, items in order and their number. Lists are gathered, so a group must be small enough for one row."""
+    """key, items in order and their number. Lists are gathered, so a group must be small enough for one row; group_items has no such bound."""
     one = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], item.alias("item"))
     grouped = rows.groupBy(key.alias(key_name)).agg(F.sort_array(F.collect_list(one)).alias("list"))
     return grouped.select(key_name, F.transform("list", lambda x: x["item"]).alias("items"), F.size("list").cast("bigint").alias("n"))
 
 
+def group_items(rows: DataFrame, key: Column, order: Sequence[Column], item: Column, key_name: str = "key") -> DataFrame:
+    """key, position (from 1, in order), n (items of the key) and item: group_collect for groups of any size, a row for each item.
+
+    Rows are dealt into ranges of key and order and numbered within them; numbers before a range are added from
+    the ranges' counts. So a key with very many rows is spread over tasks. The order must tell a key's rows apart.
+    """
+    names = [f"o{i}" for i in range(len(order))]
+    context = rows.sparkSession.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select(key.alias("key"), *[o.alias(n) for n, o in zip(names, order)], item.alias("item")).repartitionByRange(parts, "key", *names)
+    dealt = ranged.withColumn("part", F.spark_partition_id()).checkpoint()  # ranges come from a sample, so they are kept
+    counts = dealt.groupBy("key", "part").agg(F.count(F.lit(1)).alias("here"))
+    of_key = Window.partitionBy("key")
+    before = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), (F.sum("here").over(of_key.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(of_key).alias("n"))
+    numbered = dealt.withColumn("number", F.row_number().over(Window.partitionBy("key", "part").orderBy(*names)))
+    met = numbered.join(before, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+    return met.select(F.col("key").alias(key_name), (F.col("before") + F.col("number")).alias("position"), "n", "item")
+
+
 def assigned_to(column: str = "assignee") -> Column:
     return F.coalesce(first_given(column), F.lit("Unassigned"))
 
 
 def task_cards(tasks: DataFrame, today, team: Mapping[str, str], order: Sequence[Column]) -> DataFrame:
     """One message for each assignee: mention, subtitle and a line for each task in order."""
-    line = F.struct(
+    return _cards(group_collect(tasks, assigned_to(), order, _card_line(today), "who"), team, ["items"])
+
+
+def task_card_lines(tasks: DataFrame, today, team: Mapping[str, str], order: Sequence[Column]) -> DataFrame:
+    """task_cards for assignees with any number of tasks: a row for each task, with its position and line and what its card says."""
+    return _cards(group_items(tasks, assigned_to(), order, _card_line(today), "who"), team, ["position", "item.*"])
+
+
+def _card_line(today) -> Column:
+    return F.struct(
         F.concat_ws(" · ", text_of("phase"), F.coalesce(first_given("evName"), F.lit("Event"))).alias("topLabel"),
         text_of("title").alias("text"),
         F.concat(F.lit("Due: "), due_label(F.col("due").try_cast("date"), today), F.coalesce(F.concat(F.lit(" · Event: "), first_given("evDate")), F.lit(""))).alias("bottomLabel"),
     )
-    grouped = group_collect(tasks, assigned_to(), order, line, "who")
+
+
+def _cards(grouped: DataFrame, team: Mapping[str, str], carried: Sequence[str]) -> DataFrame:
     address = F.try_element_at(F.create_map(*[F.lit(x) for pair in (team or {"": ""}).items() for x in pair]), F.col("who"))
     mention = F.coalesce(F.concat(F.lit("<users/"), F.nullif(address, F.lit("")), F.lit(">")), F.col("who"))
     return grouped.select(
-        "who", "n", "items",
+        "who", "n", *carried,
         F.concat(F.lit("New tasks assigned to "), mention, F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("message"),
         F.concat(plural(F.col("n"), "task"), F.lit(" assigned")).alias("subtitle"),
         F.concat(F.lit("tasks_"), F.regexp_replace("who", r"\s", "")).alias("card_id"),

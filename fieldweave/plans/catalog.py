@@ -246,6 +246,12 @@ def group_collect(spark, sf_dir):
     return groups.group_collect(e, who, [F.col("ts"), F.col("event_id")], F.col("event_type"), "who").select("who", values.joined(F.col("items")).alias("items"), "n")
 
 
+@query("SELECT coalesce(user_id::VARCHAR, 'Unassigned') AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY user_id) AS n, event_type AS item FROM events")
+def group_items(spark, sf_dir):
+    who = F.coalesce(values.first_given(F.col("user_id").cast("string")), F.lit("Unassigned"))
+    return groups.group_items(table(spark, sf_dir, "events"), who, [F.col("ts"), F.col("event_id")], F.col("event_type"), "who")
+
+
 @query("SELECT user_id, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
 def array_join(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(values.joined(F.array_sort(F.collect_set("event_type"))).alias("kinds"))

@@ -98,6 +98,15 @@ def test_key_pages_hold_every_row(spark):
     assert rows.union_pages(rows.key_pages(nums.limit(0), "n", 3)).count() == 0
 
 
+def test_items_of_a_large_group_are_numbered_over_parts(spark):
+    given = spark.range(3000).selectExpr("CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 20 = 0 THEN cast(id % 7 AS string) END AS k", "3000 - id AS seq", "id AS v")
+    got = groups.group_items(given, F.col("k"), [F.col("seq")], F.col("v")).collect()
+    wanted = {}
+    for r in given.orderBy("seq").collect():
+        wanted.setdefault(r.k, []).append(r.v)
+    assert len(got) == 3000 and {(r.key, r.position, r.n, r["item"]) for r in got} == {(k, i + 1, len(vs), v) for k, vs in wanted.items() for i, v in enumerate(vs)}
+
+
 def test_progress(spark):
     given = spark.createDataFrame([({"a": True, "b": False, "c": None},), ({},)], "p map<string,boolean>")
     done = given.select(groups.checked_tasks(F.col("p")).alias("n"), groups.progress_percent(groups.checked_tasks(F.col("p")).cast("double"), F.size("p")).alias("x")).collect()
