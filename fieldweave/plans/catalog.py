@@ -166,6 +166,11 @@ def where_conjunction(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 500").select("o_orderkey", "o_custkey")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def where_equalities(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+
+
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def in_list(spark, sf_dir):
     return rows.in_list(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
@@ -263,6 +268,10 @@ def group_count(spark, sf_dir):
     return o.groupBy(groups.assigned_to().alias("who")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _order_tasks(o):
+    return o.select(F.col("o_orderkey").cast("string").alias("title"), F.col("o_orderstatus").alias("evName"), F.col("o_orderpriority").alias("phase"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("assignee"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"), F.lit("").alias("evDate"), "o_orderkey")
+
+
 @query(
     """
     SELECT who, count(*) AS n, 'New tasks assigned to ' || CASE who WHEN '1-URGENT' THEN '<users/a@example.org>' ELSE who END || ' (' || count(*) || ')' AS message,
@@ -271,11 +280,25 @@ def group_count(spark, sf_dir):
     """
 )
 def task_cards(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3")
-    tasks = o.select(F.col("o_orderkey").cast("string").alias("title"), F.col("o_orderstatus").alias("evName"), F.col("o_orderpriority").alias("phase"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("assignee"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"), F.lit("").alias("evDate"), "o_orderkey")
+    tasks = _order_tasks(table(spark, sf_dir, "orders").where("o_custkey % 10 = 3"))
     return groups.task_cards(tasks, AS_OF, {"1-URGENT": "a@example.org"}, [F.col("o_orderkey")]).drop("items")
 
 
+@query(
+    """
+    SELECT who, n, position, 'New tasks assigned to ' || CASE who WHEN '1-URGENT' THEN '<users/a@example.org>' ELSE who END || ' (' || n || ')' AS message,
+      n || ' task' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' assigned' AS subtitle, 'tasks_' || replace(who, ' ', '') AS card_id,
+      o_orderpriority || ' · ' || o_orderstatus AS "topLabel", o_orderkey::VARCHAR AS text,
+      'Due: ' || CASE WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Tomorrow' WHEN d = -1 THEN 'Yesterday' WHEN d < 0 THEN (-d) || ' days overdue' WHEN d <= 14 THEN 'In ' || d || ' days' ELSE strftime(o_orderdate, '%b %-d, %Y') END AS "bottomLabel"
+    FROM (SELECT *, row_number() OVER (PARTITION BY who ORDER BY o_orderkey) AS position, count(*) OVER (PARTITION BY who) AS n
+      FROM (SELECT *, date_diff('day', DATE '1998-06-15', o_orderdate::DATE) AS d, CASE WHEN o_orderkey % 7 = 0 THEN 'Unassigned' ELSE o_orderpriority END AS who FROM orders))
+    """
+)
+def task_card_lines(spark, sf_dir):
+    tasks = _order_tasks(table(spark, sf_dir, "orders"))
+    return groups.task_card_lines(tasks, AS_OF, {"1-URGENT": "a@example.org"}, [F.col("o_orderkey")])
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS told FROM orders")
 def map_lookup(spark, sf_dir):
     return joins.renamed_values(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": "finished", "O": "open"}, "told").select("o_orderkey", "told")
