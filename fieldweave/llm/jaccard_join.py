@@ -3,11 +3,14 @@
 Texts are sets of n-word shingles. Equal texts are joined first, by digest, so that a text with many
 copies is compared once. MinHash values of the distinct texts are banded; texts that share a band are
 linked to the smallest of their bucket, and connected components of these links say which texts can be
-similar at all. Within a component texts are compared pair by pair in blocks: MinHash values are
+similar at all. Small components are compared as a whole. Of a component too large for one block either
+all texts or only those of each bucket are compared with one another, whichever is less work: long
+chains of texts that are each like the next have small buckets, groups of copies of one text share most
+of them. A pair that meets in several buckets counts in the first. Such a group is compared pair by pair
+in blocks, and each pair of blocks is a task of its own: MinHash values are
 compared a few at a time, and a pair is dropped as soon as the posterior probability that its Jaccard
 similarity reaches the threshold falls below the tolerance (uniform prior, so the posterior is a
-binomial sum). The pairs that are left are verified on the shingle sets. Components too large for one
-block are cut into blocks, and each pair of blocks is a task of its own.
+binomial sum). The pairs that are left are verified on the shingle sets.
 
 Pairs never leave the block they are compared in: a block returns for each text the number of its links
 and one member of its cluster, so the output grows with the texts and not with the pairs.
@@ -74,13 +77,13 @@ class MinHash:
         return out.astype(np.int64)
 
 
-def signatures(texts: list[str | None], words: Words, minhash: MinHash, n: int, band_rows: int, least_words: int) -> tuple[np.ndarray, list]:
-    """Number of shingles and bands of each text; 0 and none for texts of fewer than least_words words, or none."""
+def signatures(texts: list[str | None], words: Words, minhash: MinHash, n: int, band_rows: int) -> tuple[np.ndarray, list]:
+    """Number of shingles and bands of each text; 0 and none for texts without words."""
     sizes, bands = np.zeros(len(texts), dtype=np.int32), [[]] * len(texts)
     for first, some in blocks(texts):
         codes, length = words.of(some)
         begin = np.cumsum(length) - length
-        long = np.flatnonzero(length >= max(n, least_words))
+        long = np.flatnonzero(length >= n)
         if len(long):
             rolled = rolling(codes, n)
             count = length[long] - n + 1
@@ -88,7 +91,7 @@ def signatures(texts: list[str | None], words: Words, minhash: MinHash, n: int,
             at = np.repeat(begin[long] - starts, count) + np.arange(count.sum())
             for row, size, own in zip(first + long, count, minhash.bands(minhash.of_many(rolled[at], starts), band_rows)):
                 sizes[row], bands[row] = size, own
-        for k in np.flatnonzero((length > 0) & (length >= least_words) & (length < n)):  # shorter than a shingle
+        for k in np.flatnonzero((length > 0) & (length < n)):  # shorter than a shingle
             whole = rolling(codes[begin[k] : begin[k] + length[k]], length[k])
             sizes[first + k], bands[first + k] = 1, minhash.bands(minhash.of(whole)[None, :], band_rows)[0]
     return sizes, bands
@@ -111,8 +114,11 @@ class Comparer:
         self.threshold, self.step, self.tile = threshold, step, tile
         self.least = {c: least_matches(c, threshold, tolerance) for c in range(step, values + 1, step)}
 
-    def pairs(self, values: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Similar pairs (row, other), tile by tile; where rows and others are the same, each pair once."""
+    def pairs(self, values: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray, first_met: tuple[np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Similar pairs (row, other), tile by tile; where rows and others are the same, each pair once.
+
+        first_met has the buckets of all rows by band, and a band: only pairs that share no earlier one are given.
+        """
         same = rows is others
         sizes = np.array([len(s) for s in sets])
         for start in range(0, len(rows), self.tile):
@@ -129,6 +135,9 @@ class Comparer:
                 found = found + (values[p, done - self.step : done] == values[q, done - self.step : done]).sum(axis=1)
                 keep = found >= self.least[done]
                 found, p, q = found[keep], p[keep], q[keep]
+            if first_met is not None and len(p):
+                keep = (first_met[0][p] == first_met[0][q]).argmax(axis=1) == first_met[1]
+                p, q = p[keep], q[keep]
             if len(p):
                 shared = self._shared(sets, p, q)
                 keep = shared >= self.threshold * (sizes[p] + sizes[q] - shared) - 1e-9
@@ -158,11 +167,10 @@ class Comparer:
         return out
 
 
-def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, step: int = 25, block_rows: int = 500, block_shingles: int = 2_000_000, least_words: int = 0, only_linked: bool = False) -> DataFrame:
+def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, values: int = 125, band_rows: int = 5, step: int = 25, block_rows: int = 500, block_shingles: int = 2_000_000, only_linked: bool = False) -> DataFrame:
     """keys, digest, class_key (struct of the class's smallest keys), n_links, copies for every row of units.
 
-    Texts of fewer than ``least_words`` words are in classes by equality only. With ``only_linked`` rows that are
-    linked to no other are left out.
+    With ``only_linked`` rows that are linked to no other are left out.
     """
     spark = units.sparkSession
     flat = units.select(*keys, F.unhex(F.md5(F.col(text_column).cast("binary"))).alias("digest"), F.col(text_column).alias("text"))
@@ -171,7 +179,7 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, minhash = Words(), MinHash(values)
         for batch in batches:
-            sizes, bands = signatures(batch["text"].tolist(), words, minhash, n, band_rows, least_words)
+            sizes, bands = signatures(batch["text"].tolist(), words, minhash, n, band_rows)
             yield batch.drop(columns="text").assign(size=sizes, bands=bands)
 
     signed = written(spread(flat).mapInPandas(sign, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", digest binary, size int, bands array<long>"))
@@ -184,35 +192,46 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     )
 
     # Which texts can be similar: components of links within buckets.
-    banded = texts.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))
+    banded = texts.where(F.size("bands") > 0).select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     leaders = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
     links = banded.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     could = components(links)
     candidates = cut(texts.drop("bands").join(could, "node"))
-    sums = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    blocks = sums.select("component", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
-    placed = cut(candidates.join(cut(blocks), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
-    # Small components share tasks; large ones have a task for each pair of their blocks.
+    # What is compared with one another: the texts of a component (band -1), or of a bucket of it.
+    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks")
+    sums = cut(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).select("component", "n", blocks))
+    member = candidates.select("node", "digest", "any_key", "copies", F.col("component").alias("group"), F.lit(-1).alias("band")).join(sums.select(F.col("component").alias("group"), "blocks"), "group")
+    large = sums.where("blocks > 1")
+    if not large.isEmpty():
+        met = cut(banded.join(could.join(large.select("component", F.col("n").alias("all")), "component"), "node"))
+        buckets = cut(met.groupBy("component", "all", "band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 1").select("component", "all", "band", "bucket", "n", blocks))
+        chained = buckets.groupBy("component", "all").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).where(F.col("pairs") < F.col("all") * F.col("all")).select("component")
+        apart = buckets.join(chained, "component").select(F.col("bucket").alias("group"), "band", "blocks")
+        apart = met.select("node", "band", F.col("bucket").alias("group")).join(apart, ["group", "band"]).join(candidates.select("node", "digest", "any_key", "copies"), "node")
+        member = member.join(chained.select(F.col("component").alias("group")), "group", "left_anti").unionByName(apart)
+    placed = cut(member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
+    # Small groups share tasks; large ones have a task for each pair of their blocks.
     cells = 8 * shuffle_partitions(spark)
     alone = F.col("blocks") > 1
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     wanted = flat.select(F.col("digest"), F.struct(*keys).alias("any_key"), "text")
     dealt = (
-        placed.select("digest", "any_key", "node", "component", "copies", "block", alone.alias("alone"), other)
-        .withColumn("cell", F.when(F.col("alone"), F.xxhash64("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(cells))))
+        placed.select("digest", "any_key", "node", "group", "band", "copies", "block", alone.alias("alone"), other)
+        .withColumn("cell", F.when(F.col("alone"), F.xxhash64("group", "band")).otherwise(F.pmod(F.xxhash64("group", "band"), F.lit(cells))))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
     )
     wanted = reduced(wanted, candidates, ["digest", "any_key"])  # few texts are candidates
     same_row = (wanted["digest"] == dealt["digest"]) & wanted["any_key"].eqNullSafe(dealt["any_key"])
-    with_text = wanted.join(dealt, same_row).select("text", "node", "component", "copies", "block", "alone", "cell", "i", "j")
+    with_text = wanted.join(dealt, same_row).select("text", "node", "group", "band", "copies", "block", "alone", "cell", "i", "j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").reset_index(drop=True)
+        rows = rows.drop_duplicates(["group", "band", "node"]).reset_index(drop=True)
         words, minhash, comparer = Words(), MinHash(values), Comparer(threshold, tolerance, values, step)
         out = []
-        for _, part in rows.groupby("component"):
+        for (_, band), part in rows.groupby(["group", "band"]):
             sets = [shingles(t, words, n) for t in part["text"]]
             signs = np.array([minhash.of(s) for s in sets])
             node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
@@ -220,7 +239,8 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
             own = np.flatnonzero(block == i)
             others = own if i == j else np.flatnonzero(block == j)
             linked, label = np.zeros(len(part), dtype=np.int64), np.arange(len(part))
-            for p, q in comparer.pairs(signs, sets, own, others):
+            first_met = None if band < 0 else (minhash.bands(signs, band_rows), band)
+            for p, q in comparer.pairs(signs, sets, own, others, first_met):
                 np.add.at(linked, p, copies[q])
                 np.add.at(linked, q, copies[p])
                 while len(p):

@@ -8,12 +8,14 @@ tuned for high recall, paragraphs that collide in a band are joined, exact Jacca
 5-word shingles is verified, and connected components of similar paragraphs keep the paragraph of the
 smallest document id; the others are removed.
 
-A passage can also lie inside paragraphs that are otherwise different. So each text is further covered
-by short paragraphs of ``window`` words that begin where the hash of such a paragraph is the smallest
-around: two texts with a common run of ``least_words`` words have one of them in common. They are
-banded by all their words (one band). Around those that two documents share, every run of
-``least_words`` words is looked at as a paragraph of its own: runs that an earlier document has are
-removed, so the extent of a passage is exact to the word.
+A passage can also lie inside paragraphs that are otherwise different. That is not banding but exact
+matching of runs, in two steps. Each text is covered by places where the hash of ``window`` words is
+the smallest around: two texts with a common run of ``least_words`` words have such a place in common.
+First, the words from each shared place to the place where they are ``least_words`` or more make one
+piece: a piece that an earlier document has is removed at once. Second, of the other runs of
+``least_words`` words around shared places those that an earlier document has are removed, so the
+extent of a passage is exact to the word, and only its ends are looked at run by run. Runs and pieces that touch
+a paragraph to be removed take no part, so that what a document keeps for others is left in it.
 
 What is removed always has an equal or similar passage in a document with a smaller id; passages that
 repeat within one document only are left alone. Words are runs of characters other than white space.
@@ -38,7 +40,7 @@ from fieldweave.llm.jaccard_join import similar
 from fieldweave.llm.words import Words, blocks, mixed, rolling
 
 _WORD = re.compile(WORD)
-_RUNS, _WHOLE = -1, -2  # what a case is that is no line
+_END = (1 << 31) - 1  # behind the last word of any text
 
 
 def tuned_rows(values: int, threshold: float, recall: float) -> int:
@@ -98,27 +100,42 @@ def joined_lines(counts: np.ndarray, heads: np.ndarray, least_words: int) -> lis
     return out
 
 
-def joined_paragraphs(docs: DataFrame, least_words: int, head: int = 3) -> DataFrame:
-    """id, line, to (the line behind the last) and text of paragraphs of joined lines."""
+def paragraphs(docs: DataFrame, least_words: int, head: int = 3) -> DataFrame:
+    """id, begin and end (in words) and text of the lines of least_words words or more, and of joined shorter ones."""
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             for begin, texts in blocks(batch["text"].tolist()):
-                split = [t.split("\n") for t in texts]
-                codes, counts = words.of([line for lines in split for line in lines])
+                lines_of = [t.split("\n") for t in texts]
+                codes, counts = words.of([line for lines in lines_of for line in lines])
                 first = np.cumsum(counts) - counts
                 padded = np.concatenate([codes, np.zeros(head, dtype=np.uint64)])
                 heads = np.zeros(len(counts), dtype=np.uint64)
                 for k in range(head):
                     heads = mixed(heads + np.where(counts > k, padded[first + k], np.uint64(0)))
                 rows, at = [], 0
-                for i, lines in zip(batch["id"].iloc[begin : begin + len(texts)], split):
-                    own = slice(at, at := at + len(lines))
-                    rows += [(i, a, b, "\n".join(lines[a:b])) for a, b in joined_lines(counts[own], heads[own], least_words)]
-                yield pd.DataFrame(rows, columns=["id", "line", "to", "text"])
+                for i, lines in zip(batch["id"].iloc[begin : begin + len(texts)], lines_of):
+                    here = slice(at, at := at + len(lines))
+                    own = counts[here]
+                    ends = np.cumsum(own)
+                    found = [(k, k + 1) for k in np.flatnonzero(own >= least_words).tolist()] + joined_lines(own, heads[here], least_words)
+                    rows += [(i, ends[a] - own[a], ends[b - 1], "\n".join(lines[a:b])) for a, b in found]
+                yield pd.DataFrame(rows, columns=["id", "begin", "end", "text"])
 
-    return docs.select("id", "text").where(F.length("text") >= 2 * least_words - 1).mapInPandas(join, f"id {dict(docs.dtypes)['id']}, line int, to int, text string")
+    long = docs.select("id", "text").where(F.length("text") >= 2 * least_words - 1)  # so many words have so many characters at least
+    return long.mapInPandas(split, f"id {dict(docs.dtypes)['id']}, begin int, end int, text string")
+
+
+def pieces(words: np.ndarray, at: np.ndarray, window: int, least_words: int, power: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the hash of the words from there to the end of the next place that makes them least_words or more, and that end; 0 and 0 where there is none."""
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    stop = np.searchsorted(at, at + (least_words - window))
+    there = stop < len(at)
+    end = np.where(there, at[np.minimum(stop, len(at) - 1)] + window, 0)
+    code = mixed((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64))
+    return np.where(there, code, np.uint64(0)), end
 
 
 def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, window: int = 16, threshold: float = 0.8, values: int = 27, recall: float = 0.998) -> DataFrame:
@@ -130,89 +147,106 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = dict(flat.dtypes)["id"]
     around = least_words - window + 1
 
-    # Paragraphs: similar lines, or joined lines, of different documents. Fifty words have ninety-nine characters at least.
-    lines = flat.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length("text") >= 2 * least_words - 1)
-    paragraphs = lines.select("id", "line", (F.col("line") + 1).alias("to"), "text").union(joined_paragraphs(spread(flat), least_words))
-    classes = similar(paragraphs, ["id", "line", "to"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, least_words=least_words, only_linked=True)
-    similar_lines = classes.where((F.col("size") > 0) & (F.col("class_key.id") != F.col("id"))).select("id", "line", "to", F.col("class_key.id").alias("kept"))
-
     # Equal texts: the one of the smallest id stays, and only it is looked at further.
     digests = cut(flat.select("id", F.md5(F.col("text").cast("binary")).alias("digest")))
     copied = cut(digests.groupBy("digest").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("digest", "kept"))
     copies = cut(digests.join(copied, "digest").where("id <> kept").select("id", "kept"))
 
-    # Short paragraphs at anchors, and which of them different texts share.
+    # Paragraphs that are similar to one of an earlier document.
+    units = written(paragraphs(spread(flat), least_words))
+    classes = similar(units, ["id", "begin", "end"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, only_linked=True)
+    alike = cut(classes.where(F.col("class_key.id") != F.col("id")).select("id", "begin", "end", F.col("class_key.id").alias("kept")))
+    gone = alike.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
+
+    # Places, and which of them different texts share.
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             for begin, texts in blocks(batch["text"].tolist(), 1_000_000):
                 codes, counts = words.of(texts)
-                found = [anchors(own, window, around) for own in np.split(codes, np.cumsum(counts)[:-1])]
-                sizes = [len(at) for at, _ in found]
-                rows = batch.iloc[begin : begin + len(texts)]
-                yield pd.DataFrame({"id": rows["id"].repeat(sizes), "which": rows["which"].repeat(sizes), "at": np.concatenate([at for at, _ in found]).astype(np.int32), "code": np.concatenate([c for _, c in found]).astype(np.int64)})
-
-    short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long"))
+                ids, which, found = [], [], []
+                for i, w, own in zip(batch["id"].iloc[begin : begin + len(texts)], batch["which"].iloc[begin : begin + len(texts)], np.split(codes, np.cumsum(counts)[:-1])):
+                    at, code = anchors(own, window, around)
+                    if len(at):
+                        ids.append(np.repeat(i, len(at)))
+                        which.append(np.repeat(w, len(at)))
+                        found.append((at, code, *pieces(own, at, window, least_words, words.power, words.inverse)))
+                if found:
+                    at, code, piece, to = (np.concatenate(x) for x in zip(*found))
+                    yield pd.DataFrame({"id": np.concatenate(ids), "which": np.concatenate(which), "at": at.astype(np.int32), "code": code.astype(np.int64), "piece": piece.astype(np.int64), "to": to.astype(np.int32)})
+
+    short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long, piece long, to int"))
     shared = cut(short.groupBy("code").agg(F.min("which").alias("low"), F.max("which").alias("high")).where("low <> high").select("code"))
-    around_here = cut(reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list("at").alias("places")).join(copies, "id", "left_anti"))
-
-    # Every run of least_words words around them.
+    near = reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list(F.struct("at", "to", "piece")).alias("places"))
+    near = cut(near.join(copies, "id", "left_anti").join(gone, "id", "left"))
+
+    # Pieces that an earlier document has.
+    touched = lambda begin, end: F.exists("gone", lambda g: (g["begin"] < end) & (g["end"] > begin))
+    whole = near.select("id", "gone", F.explode("places").alias("p")).select("id", "gone", "p.*").where(F.col("to") > 0)
+    whole = cut(whole.where(F.col("gone").isNull() | ~touched(F.col("at"), F.col("to"))).select("id", "at", "to", "piece"))
+    first = whole.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("piece", "kept")
+    later = cut(whole.join(first, "piece").where("id <> kept").select("id", F.col("at").alias("begin"), F.col("to").alias("end"), "kept"))
+    told = later.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
+
+    # Every other run of least_words words around the places.
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             for begin in range(0, len(batch), 512):
                 ids, places, codes = [], [], []
-                for i, text, at in batch.iloc[begin : begin + 512].itertuples(index=False):
+                for i, text, at, told_begin, told_end, gone_begin, gone_end in batch.iloc[begin : begin + 512].itertuples(index=False):
                     rolled = rolling(words.one(text), least_words)
-                    begins = (np.unique(at)[:, None] - np.arange(around)).ravel()
-                    begins = np.unique(begins[(begins >= 0) & (begins < len(rolled))])
+                    wanted = marked(at - around + 1, at + 1, len(rolled))
+                    if told_begin is not None:
+                        wanted &= ~marked(told_begin, told_end - least_words + 1, len(rolled))
+                    if gone_begin is not None:
+                        wanted &= ~marked(gone_begin - least_words + 1, gone_end, len(rolled))
+                    begins = np.flatnonzero(wanted)
                     ids.append(np.repeat(i, len(begins)))
                     places.append(begins)
                     codes.append(rolled[begins])
                 yield pd.DataFrame({"id": np.concatenate(ids), "at": np.concatenate(places).astype(np.int32), "code": np.concatenate(codes).astype(np.int64)})
 
-    looked_at = reduced(flat, around_here, ["id"]).join(around_here, "id").select("id", "text", "places")
-    whole = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
-    first = cut(whole.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
-    none = F.expr("cast(array() as array<int>)")
-    later = whole.join(first, "code").where("id <> kept").groupBy("id", "kept").agg(F.collect_list("at").alias("ats"))
-    told = later.select("id", "kept", "ats", F.lit(_RUNS).alias("line"), F.lit(0).alias("to")).union(similar_lines.select("id", "kept", none, "line", "to")).union(copies.select("id", "kept", none, F.lit(_WHOLE), F.lit(0)))
-    cases = cut(told.groupBy("id").agg(F.collect_list(F.struct("kept", "ats", "line", "to")).alias("cases")))
+    looked_at = reduced(flat, near, ["id"]).join(near, "id").join(told, "id", "left")
+    looked_at = looked_at.select("id", "text", F.col("places.at").alias("at"), *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
+    single = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
+    first = cut(single.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
+    ends = single.join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept")
+    cases = later.union(ends).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept")).groupBy("id").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("cases"))
+    cases = cut(cases)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text, own in zip(batch["id"], batch["text"], batch["cases"]):
-                rows += [(i, *span) for span in spans(text, own, least_words)]
+            for i, text, *own in batch.itertuples(index=False):
+                rows += [(i, *span) for span in spans(text, list(zip(*own)), least_words)]
             yield pd.DataFrame(rows, columns=["id", "start", "end", "n_words", "kept_id"])
 
-    out = reduced(flat, cases, ["id"]).join(cases, "id").select("id", "text", "cases")
+    out = reduced(flat, cases, ["id"]).join(cases, "id").select("id", "text", *[F.col(f"cases.{c}").alias(c) for c in ("begin", "end", "kept")])
     return out.mapInPandas(settle, f"id {kind}, start long, end long, n_words long, kept_id {kind}").withColumnRenamed("id", id_column)
 
 
-def spans(text: str, cases: list, least_words: int) -> list[tuple[int, int, int, object]]:
-    """Disjoint spans of the text: start, end, words, document that keeps their begin. A case is lines, the whole text, or begins of repeated runs."""
+def marked(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    begins, ends = np.clip(begins, 0, n), np.clip(ends, 0, n)
+    there = begins < ends
+    change = np.bincount(begins[there], minlength=n + 1) - np.bincount(ends[there], minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def spans(text: str, cases: list[tuple], least_words: int) -> list[tuple[int, int, int, object]]:
+    """Disjoint spans of the text: start, end, words, document that keeps their begin. A case is a range of words and such a document."""
     found = list(_WORD.finditer(text))
-    begins = np.array([m.start() for m in found])
-    ends = np.cumsum([len(line) + 1 for line in text.split("\n")])
-    hits = []
-    for case in cases:
-        if case["line"] == _WHOLE:
-            hits += [(0, len(found), case["kept"])] if len(found) >= least_words else []
-        elif case["line"] == _RUNS:
-            hits += [(at, at + least_words, case["kept"]) for at in case["ats"].tolist() if at + least_words <= len(found)]
-        elif case["to"] <= len(ends):
-            low, high = np.searchsorted(begins, (ends[case["line"] - 1] if case["line"] else 0, ends[case["to"] - 1]))
-            hits.append((int(low), int(high), case["kept"]))
     out: list[list] = []
-    for begin, end, kept in sorted(hits):
-        if begin >= end:
+    for begin, end, kept in sorted(cases):
+        end = min(end, len(found))
+        if end - begin < least_words:
             continue
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([begin, end, kept])
-    return [(found[b].start(), found[e - 1].end(), e - b, kept) for b, e, kept in out]
+    return [(found[b].start(), found[e - 1].end(), int(e - b), kept) for b, e, kept in out]
 
 
 def without(text: str, taken: list) -> str:

@@ -132,3 +132,31 @@ def test_joined_lines_hold_enough_words_and_are_cut_alike():
     alone = {(a + 40, b + 40) for a, b in sub.joined_lines(counts, heads, 50)}
     within = set(sub.joined_lines(np.concatenate([rng.integers(1, 12, 40), counts]), np.concatenate([rng.integers(0, 1 << 60, 40).astype(np.uint64), heads]), 50))
     assert len(alone & within) >= 0.8 * len(alone)
+
+
+def test_what_a_removed_paragraph_would_keep_for_others_is_left_somewhere(spark):
+    rng = random.Random(11)
+    base, insert = words(rng, 450), words(rng, 55)
+    changed = base[:200] + insert + base[200:]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(words(rng, 70) + insert + words(rng, 70)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sub.remove_repeats(docs).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
+def test_pieces_are_equal_where_words_are():
+    import numpy as np
+
+    from fieldweave.llm.words import Words
+
+    rng, made = random.Random(13), Words()
+    run = words(rng, 300)
+    found = []
+    for before in (20, 77):
+        own = made.one(" ".join(words(rng, before) + run + words(rng, 30)))
+        at, _ = sub.anchors(own, 16, 35)
+        code, end = sub.pieces(own, at, 16, 50, made.power, made.inverse)
+        assert all(50 <= e - a <= 85 for a, e in zip(at, end) if e) and (end[-1] == 0) == (code[-1] == 0)
+        found.append({(a - before, e - before, c) for a, e, c in zip(at.tolist(), end.tolist(), code.tolist()) if a >= before and 0 < e <= before + 300})
+    assert len(found[0] & found[1]) >= 10
+    assert np.array_equal(sub.marked(np.array([-3, 4, 9]), np.array([2, 6, 30]), 10), [True, True, False, False, True, True, False, False, False, True])
