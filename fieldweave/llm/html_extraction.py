@@ -7,16 +7,16 @@ repeated, and blocks that they cover are the host's boilerplate. What is left ar
 
 Markup decides first where it speaks: elements that are not content by tag, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are left out,
-and what stands in an ``article`` is main text however often it is repeated, since pages may share or
-copy an article. Everything else (pages without an article, blocks in plain containers) is decided by
-the suffix array. Where a page has an article, blocks outside it are not main text.
+and what stands in an ``article`` is main text however often it is repeated, since articles share
+passages with one another. Every other block (all of a page without an article, and blocks in plain
+containers beside one) is decided by the suffix array.
 
 Sorting needs the first ``least_run`` tokens of a suffix only: substrings of at least that length are
 repeated where those are, so ranks are doubled up to that length and no further.
 
-Hosts with very many pages are dealt into parts, none above a quarter of a mean partition. What is
+Hosts with very many pages are dealt into parts, none above a quarter of a mean partition or ``part_bytes``. What is
 repeated is still decided over the whole host: hashes of the runs of ``least_run`` tokens on pages that
-need the verdict (those without an article) are looked for on all pages of the host, and each part gets
+need the verdict (those with such a block) are looked for on all pages of the host, and each part gets
 those of its runs that two distinct pages have, wherever these are.
 
 Null html gives an empty text, a null url counts as a host without name. Very long pages are read
@@ -62,6 +62,7 @@ _COMMENT_WORDS = frozenset("comment comments reply replies teaser related".split
 _WHOLE = frozenset(("html", "body", "main"))
 
 NEUTRAL, MAIN, OUT = 0, 1, 2
+_FEW_HOSTS = 100_000
 
 
 @dataclass
@@ -195,8 +196,9 @@ def stream(own: list[Block], hashes: TokenHashes) -> tuple[np.ndarray, list[int]
     return hashes.of([w for ws in words for w in ws]) | np.uint64(1), [len(w) for w in words]
 
 
-def has_article(own: list[Block]) -> bool:
-    return any(b.zone == MAIN for b in own)
+def is_open(own: list[Block]) -> bool:
+    """Whether the page has a block that markup leaves open."""
+    return any(b.zone == NEUTRAL for b in own)
 
 
 def main_texts(pages: list[str | None], least_run: int = 8, covered_share: float = 0.8, elsewhere: np.ndarray | None = None) -> list[str]:
@@ -210,17 +212,14 @@ def main_texts(pages: list[str | None], least_run: int = 8, covered_share: float
         streams.append(tokens)
     out = []
     for own, size, covered in zip(parsed, lengths, repeated(streams, least_run, elsewhere) if streams else []):
-        if has_article(own):
-            kept = [b for b in own if b.zone == MAIN]
-        else:
-            ends = np.cumsum(size)
-            kept = [b for b, n, e in zip(own, size, ends) if covered[e - n + 1 : e].mean() < covered_share]
+        ends = np.cumsum(size)
+        kept = [b for b, n, e in zip(own, size, ends) if b.zone == MAIN or covered[e - n + 1 : e].mean() < covered_share]
         out.append("\n".join(b.text for b in kept))
     return out
 
 
-def runs(pages: DataFrame, least_run: int, articles: bool) -> DataFrame:
-    """site, part, code (hash of a run of least_run tokens) and page (hash of its tokens): the distinct runs of each page with or without an article."""
+def runs(pages: DataFrame, least_run: int, left_open: bool) -> DataFrame:
+    """site, part, code (hash of a run of least_run tokens) and page (hash of its tokens): the distinct runs of each page with or without open blocks."""
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = TokenHashes()
@@ -230,7 +229,7 @@ def runs(pages: DataFrame, least_run: int, articles: bool) -> DataFrame:
                 codes, names = [], []
                 for page in rows["html"]:
                     own = [b for b in blocks(page) if b.zone != OUT]
-                    tokens = stream(own, hashes)[0] if has_article(own) == articles else np.zeros(0, dtype=np.uint64)
+                    tokens = stream(own, hashes)[0] if is_open(own) == left_open else np.zeros(0, dtype=np.uint64)
                     codes.append(np.unique(rolling(tokens, least_run).view(np.int64)))
                     names.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
                 sizes = [len(c) for c in codes]
@@ -241,23 +240,23 @@ def runs(pages: DataFrame, least_run: int, articles: bool) -> DataFrame:
 
 
 def repeated_elsewhere(dealt: DataFrame, large: DataFrame, least_run: int) -> DataFrame | None:
-    """host, part and code of the runs of pages without an article that two distinct pages of a host dealt into parts have. None where there are no such runs.
+    """host, part and code of the runs of pages with open blocks that two distinct pages of a host dealt into parts have. None where there are no such runs.
 
     A run on very many pages is one row a task before the shuffle, and one row a part after it.
     """
     split = dealt.where("parts is not null").withColumn("site", F.xxhash64("host"))
-    asked = written(runs(split, least_run, False))
+    asked = written(runs(split, least_run, True))
     if asked.isEmpty():
         return None
     keys = ["site", "code"]
     first_last = [F.min("page").alias("low"), F.max("page").alias("high")]
     wanted = cut(asked.groupBy(*keys, "part").agg(*first_last))
-    others = reduced(runs(split, least_run, True), wanted.select(*keys).distinct(), keys).groupBy(*keys).agg(*first_last)
+    others = reduced(runs(split, least_run, False), wanted.select(*keys).distinct(), keys).groupBy(*keys).agg(*first_last)
     found = wanted.select(*keys, "low", "high").union(others).groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    return wanted.select(*keys, "part").join(found.select(*keys), keys).join(F.broadcast(large.select(F.xxhash64("host").alias("site"), "host")), "site").select("host", "part", "code")
+    return wanted.select(*keys, "part").join(found.select(*keys), keys).join(large.select(F.xxhash64("host").alias("site"), "host"), "site").select("host", "part", "code")
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_run: int = 8) -> DataFrame:
+def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_run: int = 8, part_bytes: int = 256 << 20) -> DataFrame:
     """id, url, text and n_chars of every page."""
     spark = pages.sparkSession
     named = pages.select(
@@ -269,10 +268,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     kinds = dict(named.dtypes)
     sizes = cut(named.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 64).alias("bytes")))
     whole = sizes.agg(F.sum("bytes").alias("b")).first().b or 0
-    most = max(whole // (4 * shuffle_partitions(spark)), 1)
-    # Fewer than 4 x partitions hosts can be this large, so the table is small enough to broadcast.
-    large = sizes.where(F.col("bytes") > most).select("host", F.ceil(F.col("bytes") / most).cast("int").alias("parts"))
-    dealt = named.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))))
+    most = min(max(whole // (4 * shuffle_partitions(spark)), 1), part_bytes)
+    large = cut(sizes.where(F.col("bytes") > most).select("host", F.ceil(F.col("bytes") / most).cast("int").alias("parts")))
+    few = large.count() <= _FEW_HOSTS  # of more hosts the table may be too large to broadcast
+    dealt = named.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))))
 
     def run(rows: pd.DataFrame, elsewhere: np.ndarray | None = None) -> pd.DataFrame:
         texts = main_texts(list(rows["html"]), least_run, elsewhere=elsewhere)

@@ -5,7 +5,8 @@ vector is put into a leaf by going down to the nearest centre. A query walks the
 priority queue that always opens the node whose centre has the largest inner product with it, and
 visits leaves in that order. How many it visits is calibrated: for a bounded sample of the queries
 (``calibration_queries``) the exact neighbours among all vectors are found in blocks, and visits are
-widened until the wanted share of those neighbours lies in visited leaves.
+widened until the wanted share of those neighbours lies in visited leaves. A query goes on beyond that number
+until the leaves it has visited hold k other vectors, so none gets fewer while there are more.
 
 Vectors and queries meet in cells: a group of neighbouring leaves, dealt into parts by its number of
 rows and into parts by its number of queries, so that no cell outgrows a task however common a vector
@@ -14,7 +15,7 @@ is. A cell returns each query's best rows; a window keeps the best of all.
 Nearness is the inner product in double precision on the vectors as given; a candidate's score is
 summed in one fixed order, so equal vectors tie exactly, and ties go to the smaller id. Rows whose
 vector is null, zero, of another length than most, or holds null or non-finite components, and rows
-without an id take no part. Repeated rows are candidates each; a repeated query counts once. An empty
+without an id take no part. Repeated rows are candidates each; a repeated query counts once (of several vectors of one id the first in array order is asked for). An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -82,14 +83,15 @@ class Tree:
                 todo += [(child, rows[member == k]) for k, child in enumerate(self.children[node])]
         return leaf
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order: so many, and more until they hold at least so many vectors."""
         queue, out = [(0.0, 0, self.root)], []
-        pushed = 0
-        while queue and len(out) < most:
+        pushed, seen = 0, 0
+        while queue and (len(out) < most or seen < least):
             _, _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                seen += int(sizes[-1 - node]) if sizes is not None else 0
                 continue
             for near, child in zip((self.centres[node] @ query).tolist(), self.children[node]):
                 pushed += 1
@@ -159,7 +161,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
             yield batch.assign(leaf=tree.value.assign(_matrix(batch["v"])))
 
     placed = cut(spread(vectors).mapInPandas(assign, "id long, v array<double>, leaf int"))
-    asked = placed.where(is_query).select("id", "v").distinct()
+    asked = placed.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
     # Calibration: exact neighbours of a bounded number of queries, found in blocks of all vectors.
     probes = asked.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(calibration_queries).toPandas()
@@ -180,6 +182,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
     needed = np.sort([place[q][leaf] + 1 for q, leaf in zip(truth["query_id"], truth["leaf"])])
     most = int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else leaves
 
+    sizes = np.zeros(leaves, dtype=np.int64)
+    for r in placed.groupBy("leaf").agg(F.count_distinct("id").alias("n")).collect():  # a row a leaf
+        sizes[r.leaf] = r.n
+
     # Cells: groups of leaves by parts of rows and parts of queries; these tables have a row a group at most.
     together = max(1, leaves // 32)
     groups = -(-leaves // together)
@@ -189,7 +195,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
             own = []
             for i, v in zip(batch["id"], batch["v"]):
                 by_group: dict[int, list[int]] = {}
-                for leaf in tree.value.visits(np.asarray(v), most):
+                for leaf in tree.value.visits(np.asarray(v), most, sizes, k + 1):
                     by_group.setdefault(leaf // together, []).append(leaf)
                 own += [(i, v, g, ls) for g, ls in by_group.items()]
             yield pd.DataFrame(own, columns=["id", "v", "grp", "leaves"])

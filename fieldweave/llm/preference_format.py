@@ -6,7 +6,7 @@ completion that are trained on: the assistant's texts with their end marks.
 
 A turn is rendered as ``<|role|>``, a line break, its text, ``<|end|>`` and a line break. Null role or
 text counts as empty; turns with equal numbers are taken by role and text, repeated rows are repeated
-turns; a conversation that is missing has no turns; rows without a pair are left out; an empty table
+turns; a conversation that is missing has no turns, so its pair has an empty prompt and an empty completion on that side (none is dropped); rows without a pair are left out; an empty table
 gives an empty result; other columns are ignored. Turns of a pair come together in one row: this is
 one training example, whatever its length.
 """
@@ -66,7 +66,7 @@ def format_preferences(turns: DataFrame, pair: Column, is_chosen: Column, turn_c
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     number = F.col("conv_id")
-    return format_preferences(table(spark, sf_dir, "conversations"), F.floor(number / 2).cast("long"), F.pmod(number, F.lit(2)) == 0)
+    return format_preferences(table(spark, sf_dir, "conversations"), F.shiftright(number.cast("long"), 1), F.pmod(number, F.lit(2)) == 0)
 
 
 SQL = """

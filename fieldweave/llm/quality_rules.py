@@ -3,7 +3,9 @@
 Every text is measured; texts that break a rule fail. Failures are added up by host (the source
 column), the hosts' failure rates are shrunk by a beta prior fitted to all hosts (method of moments),
 and the verdict on each host goes back to its documents: those of a host whose shrunken rate is above
-``max_host_rate`` are not kept.
+a bound are not kept. The bound comes from the fitted prior, too: ``deviations`` standard deviations above its
+mean, so that a host goes when it fails much more often than hosts do here. It is never below
+``spared_host_rate`` (a host is not rejected for failing rarely, however alike the others are) nor above ``max_host_rate``.
 
 Null text has no words and fails. Documents without a host are judged by their own rules only. Ties
 and repeated rows are separate documents; an empty table gives an empty result; columns of the input
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldweave.llm.common import WORD, cut, spread, table
+from fieldweave.llm.common import WORD, cut, spread, table, written
 
 _WORD = re.compile(WORD)
 _FEW_HOSTS = 100_000
@@ -54,32 +56,37 @@ def base_failed(m: str, least_words: int, repeat_percent: int) -> Column:
     return (F.col(f"{m}.n_words") < least_words) | (100 * F.col(f"{m}.n_repeat_words") > repeat_percent * F.col(f"{m}.n_words"))
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """host and host_rate from rows of host and base_failed. The prior is one row; the table has a row a host."""
+def host_rates(rows: DataFrame, deviations: float = 2.0, spared_host_rate: float = 0.2, max_host_rate: float = 0.5) -> DataFrame:
+    """host, host_rate and rejected from rows of host and base_failed. The prior is one row; the table has a row a host."""
     hosts = cut(rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("bad")))
     n, mean = F.sum("n"), F.sum("bad") / F.sum("n")
     prior = hosts.agg(n.alias("all_n"), F.count(F.lit(1)).alias("hosts"), mean.alias("m"), (F.sum(F.col("bad") * F.col("bad") / F.col("n")) / n - mean * mean).alias("v"))
     spare = F.col("m") * (1 - F.col("m"))
     between = F.greatest(F.col("v") - spare * F.col("hosts") / F.col("all_n"), F.lit(1e-9))
     prior = prior.select("m", F.least(F.greatest(spare / between - 1, F.lit(1.0)), F.lit(10_000.0)).alias("strength"))
+    bound = F.least(F.greatest(F.col("m") + deviations * F.sqrt(spare / (F.col("strength") + 1)), F.lit(spared_host_rate)), F.lit(max_host_rate))
     shrunk = (F.col("bad") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", shrunk.alias("host_rate"))
+    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", shrunk.alias("host_rate"), (shrunk > bound).alias("rejected"))
 
 
-def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
-    """id, host, the five measures, base_failed, host_rate (null without a host) and kept, for every document."""
+def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, **bounds: float) -> DataFrame:
+    """id, host, the five measures, base_failed, host_rate (null without a host) and kept, for every document; bounds are those of host_rates."""
     measured = spread(docs).select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), measures(F.col(text_column)).alias("m"))
     rows = cut(measured.select("id", "host", "m.*", base_failed("m", least_words, repeat_percent).alias("base_failed")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True))
-    return rows.join(host_rates(rows), "host", "left").select(F.col("id").alias(id_column), "host", *MEASURES, "base_failed", "host_rate", kept.alias("kept"))
-
-
-def keep_passed(docs: DataFrame, host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
-    """docs without the rows that fail or whose host is rejected; columns stay as they are."""
-    measured = spread(docs).withColumn("__m", measures(F.col(text_column))).withColumn("__failed", base_failed("__m", least_words, repeat_percent))
-    rows = cut(measured.select(F.col(host_column).alias("host"), F.col("__failed").alias("base_failed")))
-    rejected = cut(host_rates(rows).where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("__host")))
-    if rejected.count() <= _FEW_HOSTS:  # then texts need not be shuffled by host
+    hosts = cut(host_rates(rows, **bounds))
+    if hosts.count() <= _FEW_HOSTS:  # then rows need not be shuffled by host
+        hosts = F.broadcast(hosts)
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False))
+    return rows.join(hosts, "host", "left").select(F.col("id").alias(id_column), "host", *MEASURES, "base_failed", "host_rate", kept.alias("kept"))
+
+
+def keep_passed(docs: DataFrame, host_column: str = "source", text_column: str = "text", least_words: int = 50, repeat_percent: int = 50, **bounds: float) -> DataFrame:
+    """docs without the rows that fail or whose host is rejected; columns stay as they are. Texts are measured once and written with the outcome."""
+    failed = base_failed("__m", least_words, repeat_percent)
+    measured = written(spread(docs).withColumn("__m", measures(F.col(text_column))).withColumn("__failed", failed).drop("__m"))
+    rows = measured.select(F.col(host_column).alias("host"), F.col("__failed").alias("base_failed"))
+    rejected = cut(host_rates(rows, **bounds).where("rejected").select(F.col("host").alias("__host")))
+    if rejected.count() <= _FEW_HOSTS:
         rejected = F.broadcast(rejected)
     return measured.where(~F.col("__failed")).join(rejected, F.col(host_column) == F.col("__host"), "left_anti").select(*docs.columns)
 
@@ -118,9 +125,9 @@ WITH words AS (
 ), prior AS (
   SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * hosts / all_n, 1e-9) - 1, 1.0), 10000.0) AS strength FROM moments
 ), rates AS (
-  SELECT source, (bad + m * strength) / (n + strength) AS host_rate FROM hosts, prior
+  SELECT source, (bad + m * strength) / (n + strength) > least(greatest(m + 2 * sqrt(m * (1 - m) / (strength + 1)), 0.2), 0.5) AS rejected FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept
+       NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM ruled LEFT JOIN rates USING (source)
 """

@@ -66,6 +66,7 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", id_column: str =
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"),
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
+            F.monotonically_increasing_id().alias("no"),  # tells repeated rows apart; fixed, as the rows are written
         )
     )
     whole = narrow.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
@@ -83,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", id_column: str =
     )
     span = F.greatest(F.col("high").cast("double") - F.col("low").cast("double"), F.lit(1.0))
     along = F.floor((F.col("key").cast("double") - F.col("low").cast("double")) / span * F.col("parts"))
-    part = F.when(F.col("parts") == 1, F.lit(0)).when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts"))).otherwise(F.least(along, F.col("parts") - 1))
+    part = F.when(F.col("parts") == 1, F.lit(0)).when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("id", "no", F.lit(11)), F.col("parts"))).otherwise(F.least(along, F.col("parts") - 1))
     placed = placed.join(F.broadcast(sizes), "range").withColumn("part", part.cast("int")).withColumn("one_key", F.col("low") == F.col("high"))
     cells = placed.groupBy("range", "part").agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("size").alias("cell_bytes"))
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,20 +92,22 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", id_column: str =
         "range", "part",
         F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("rows_before"),
         F.coalesce(F.sum("cell_bytes").over(before), F.lit(0)).alias("bytes_before"),
-    )
-    inside = Window.partitionBy("range", "part").orderBy("key", F.asc_nulls_first("id"), "size", "crc")
+        F.sum("cell_bytes").over(Window.partitionBy("range")).alias("range_bytes"),
+    ).withColumn("range_start", F.min("bytes_before").over(Window.partitionBy("range")))
+    inside = Window.partitionBy("range", "part").orderBy("key", F.asc_nulls_first("id"), "no")
     group = Window.partitionBy("range", "part", "key")
     line = (
         placed.join(F.broadcast(cells), ["range", "part"])
         .withColumn("row", F.col("rows_before") + F.row_number().over(inside) - 1)
         .withColumn("start", F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("group_bytes", F.sum("size").over(group))
-        .withColumn("group_start", F.min("start").over(group))
+        # a group that is dealt over parts is its range
+        .withColumn("group_bytes", F.when(F.col("one_key"), F.col("range_bytes")).otherwise(F.sum("size").over(group)))
+        .withColumn("group_start", F.when(F.col("one_key"), F.col("range_start")).otherwise(F.min("start").over(group)))
     )
     if law == "rows":
         chosen = F.floor(F.col("row") * shards / F.lit(max(whole.rows, 1)))
     elif law == "bytes":
-        whole_group = (F.col("group_bytes") <= group_share * whole.bytes / shards) & ~(F.col("one_key") & (F.col("parts") > 1))
+        whole_group = F.col("group_bytes") <= group_share * whole.bytes / shards
         middle = F.when(whole_group, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
         chosen = F.floor(middle * shards / F.lit(float(max(whole.bytes, 1))))
     else:

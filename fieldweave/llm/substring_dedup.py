@@ -184,7 +184,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     touched = lambda begin, end: F.exists("gone", lambda g: (g["begin"] < end) & (g["end"] > begin))
     whole = near.select("id", "gone", F.explode("places").alias("p")).select("id", "gone", "p.*").where(F.col("to") > 0)
     whole = cut(whole.where(F.col("gone").isNull() | ~touched(F.col("at"), F.col("to"))).select("id", "at", "to", "piece"))
-    first = whole.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("piece", "kept")
+    first = cut(whole.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("piece", "kept"))
     later = cut(whole.join(first, "piece").where("id <> kept").select("id", F.col("at").alias("begin"), F.col("to").alias("end"), "kept"))
     told = later.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
 

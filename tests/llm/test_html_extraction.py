@@ -7,7 +7,7 @@ def test_blocks_and_zones():
     page = """<html><body class="has-sidebar"><header>Head</header><div id="sideBar">x</div><div class="cookie-notice">c</div>
     <article class="post"><header><h1>T &amp; U</h1></header><p>a<b>b</b>  c&nbsp;d<br>e<p>x &lt;b&gt; y <!-- no <p> --> z<aside>q</aside>
     <div class="comments"><p>c1</div><ul><li>one<li>two</ul></article><p title="a>b">after<script>x="</p>"</script><p unfinished"""
-    assert html.main_texts([page]) == ["T & U\nab c d e\nx <b> y z\none\ntwo"]
+    assert html.main_texts([page]) == ["T & U\nab c d e\nx <b> y z\none\ntwo\nafter"]  # what no mark tells is kept unless the host repeats it
     assert [b.text for b in html.blocks(page) if b.zone == html.NEUTRAL] == ["after"]
 
 
@@ -19,6 +19,13 @@ def test_boilerplate_of_a_host_without_article():
     assert len(html.main_texts([one])[0].split("\n")) == 3  # nothing repeats on one page alone
 
 
+def test_blocks_beside_an_article_are_judged_by_repetition():
+    page = "<div>Every page of this host has this very sentence in it</div><article><p>{0}</p><p>A passage that two articles share with one another here</p></article><div>{1}</div>"
+    one, two = page.format("First article", "An afterword on one page only"), page.format("Second article", "Nothing like the other one")
+    shared = "A passage that two articles share with one another here"
+    assert html.main_texts([one, two]) == [f"First article\n{shared}\nAn afterword on one page only", f"Second article\n{shared}\nNothing like the other one"]
+
+
 def test_repeated_by_brute_force():
     import numpy as np
 

@@ -44,6 +44,18 @@ def test_odd_rows(spark):
     assert knn.search(rows.limit(0), F.lit(True)).columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def test_no_query_gets_fewer_than_there_are(spark):
+    rng = np.random.default_rng(4)
+    crowd = [(i, (np.array([5.0, 5.0, 5.0]) + rng.normal(size=3) * 0.01).tolist()) for i in range(1000, 1400)]
+    far = [(i, (np.array([-5.0, 5.0, -5.0]) + rng.normal(size=3)).tolist()) for i in range(12)]  # alone in their leaves
+    rows = spark.createDataFrame(crowd + far + [(0, [9.0, 9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = knn.search(rows, (F.col("id") % 20 == 0) | (F.col("id") < 12), k=20, recall=0.01)
+    assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {20}
+    tree = knn.Tree(np.array([v for _, v in crowd + far]), 40)
+    sizes = np.bincount(tree.assign(np.array([v for _, v in crowd + far])), minlength=tree.leaves)
+    assert sizes[tree.visits(np.array([-5.0, 5.0, -5.0]), 1, sizes, 30)].sum() >= 30
+
+
 def test_best_bin_first_reaches_every_leaf():
     rng = np.random.default_rng(0)
     points = rng.normal(size=(500, 8))

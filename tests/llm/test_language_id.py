@@ -41,7 +41,59 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.lang_pred) for r in lid.identify(docs, docs, [F.col("doc_id")]).collect()]
     assert sorted(got, key=str) == sorted([(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "en"), (2, "de"), (7, dict(got)[7])], key=str)
     kept = lid.keep_known(docs, docs)
-    assert kept.columns == docs.columns and kept.count() == 5
+    assert kept.columns == docs.columns and kept.count() == 4  # the text in letters never learned goes, too
     assert lid.identify(docs.limit(0), docs, [F.col("doc_id")]).count() == 0
     none = lid.identify(docs, docs.where("lang = 'zz'"), [F.col("doc_id")]).collect()
     assert {r.lang_pred for r in none} == {"und"}
+
+
+def test_predictions_by_explicit_bundles(spark):
+    """Cosines of vectors made n-gram by n-gram."""
+    import math
+    import unicodedata
+
+    import numpy as np
+
+    space = lid.Space()
+    labelled = [("en", "The cat sat on the mat, and the dog ran off."), ("en", "What is this that they have there?"), ("de", "Der Hund und die Katze; das ist schön."), ("fr", "Le chat est là où le chien était.")]
+    asked = ["the hat", "die Matte und der Hund", "le chien là", "½ ²", "Ⅷ", "123", "_ _", "ªº", "A1b2", "zzz qqq xxx", ""]
+
+    def bundle(text):
+        total, n, square = np.zeros(space.dimensions), 0, {}
+        words = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()
+        padded = " " + " ".join(words) + " "
+        for i in range(len(padded) - 2):
+            gram = padded[i : i + 3]
+            if words and gram[1] != " ":
+                bound = np.ones(space.dimensions)
+                for k, c in enumerate(gram):
+                    bound = bound * np.roll(space.letters[0 if c == " " else 1 + ord(c) % 255], k)
+                total, n, square[gram] = total + bound, n + 1, square.get(gram, 0) + 1
+        return total, n, sum(x * x for x in square.values())
+
+    langs = sorted({lang for lang, _ in labelled})
+    parts = {lang: [bundle(t) for own, t in labelled if own == lang] for lang in langs}
+    prototypes = {lang: (sum(v for v, _, _ in own), sum(n for _, n, _ in own)) for lang, own in parts.items()}
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lid.identify(rows, spark.createDataFrame(labelled, "lang string, text string"), [F.col("doc_id")]).collect()}
+    assert [got[i].lang_pred for i in range(9)] == ["en", "de", "fr", "und", "und", "und", "und", got[7].lang_pred, "en"] and got[7].lang_pred != "und"
+    for i, text in enumerate(asked):
+        vector, n, squares = bundle(text)
+        if not n:
+            assert (got[i].lang_pred, got[i].score, got[i].evidence) == ("und", 0, 0)
+            continue
+        near = {lang: vector @ p / np.linalg.norm(p) for lang, (p, _) in prototypes.items()}
+        best = max(langs, key=lambda lang: max(near[lang], 0))
+        whole = sum(max(x, 0) ** 2 for x in near.values())
+        p, total = prototypes[best]
+        equal = p @ p / space.dimensions / total**2
+        assert got[i].lang_pred == best
+        assert math.isclose(got[i].score, max(near[best], 0) ** 2 / whole if whole else 0, rel_tol=1e-4, abs_tol=1e-6)
+        assert math.isclose(got[i].evidence, near[best] / math.sqrt(space.dimensions * squares) / math.sqrt(n * equal / (1 + n * equal)), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_texts_in_no_learned_language_are_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(["Щука плывёт под мостом и молчит весь долгий зимний день", "zzqx vvkj qqwx xkcd zzzq jjkv " * 20, "½ ² ³ 123 Ⅷ"])], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in lid.keep_known(docs.union(strange), docs).collect()}
+    assert max(kept) < 10**6 and len(kept) >= 0.98 * docs.count()

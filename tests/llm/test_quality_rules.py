@@ -33,6 +33,16 @@ def test_hosts_with_high_shrunken_rates_are_rejected(spark):
     assert kept.columns == docs.columns and kept.count() == 190 + 1 + 9
 
 
+def test_bound_comes_from_the_hosts(spark):
+    alike = [(f"h{i}", 100, 97 - i % 3) for i in range(30)]
+    docs = rows_of(spark, [*alike, ("worse", 400, 250)])
+    got = {r.host: r.kept for r in quality.judge(docs).where("not base_failed").collect()}
+    assert not got["worse"] and all(got[h] for h, _, _ in alike)  # 0.375 of its documents fail, 0.04 of the others'
+    again = {r.host: r.kept for r in quality.judge(docs, spared_host_rate=0.4).where("not base_failed").collect()}
+    assert again["worse"]
+    assert all(r.kept for r in quality.judge(rows_of(spark, alike)).where("not base_failed").collect())
+
+
 def test_odd_rows(spark):
     odd = [(1, None, None, "x"), (1, "h", "", "x"), (None, "h", "a " * 30000, "x"), (2, "h", " ".join(map(str, range(70))), "x"), (2, "h", " ".join(map(str, range(70))), "x")]
     docs = spark.createDataFrame(odd, "doc_id long, source string, text string, m string")

@@ -26,6 +26,8 @@ def test_bytes_are_near_equal(spark, small):
         size[r.shard] = size.get(r.shard, 0) + r.size
         groups.setdefault(texts[r.doc_id], set()).add(r.shard)
     largest = max(r.size for r in rows)
+    weight = {t: sum(r.size for r in rows if texts[r.doc_id] == t) for t in groups}
+    assert all(len(s) == 1 for t, s in groups.items() if weight[t] <= 0.02 * sum(size.values()) / 8)
     assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * largest
     slots(rows)
 
@@ -43,6 +45,14 @@ def test_rows_law_and_hot_group(spark):
         sharding.shard(spark.createDataFrame(hot, DOCS), law="x")
 
 
+def test_small_groups_stay_together_though_their_range_is_dealt_out(spark):
+    made = [(i, f"group {i % 3}", "x") for i in range(90)] + [(7, "group 3", "x")] * 40 + [(1000 + i, f"text {i}", "x") for i in range(20_000)]
+    shards = {}
+    for r in sharding.shard(spark.createDataFrame(made, DOCS), shards=3, least_ranges=2048).collect():
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(len(shards[zlib.crc32(f"group {k}".encode())]) == 1 for k in range(4))
+
+
 def test_odd_rows(spark):
     odd = [(1, None, "a"), (1, None, "a"), (None, "x", "b"), (None, None, None), (2, "", "c"), (3, "é" * 30000, "d")]
     rows = sharding.shard(spark.createDataFrame(odd, DOCS), shards=3).collect()
