@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes to a folder of its own, which is deleted at the end; no frame that reads it may be used later."""
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    before = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame as written to the shared folder, so that a lost executor costs a reread only."""
     shared_folder(frame.sparkSession)
@@ -36,8 +60,8 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def written(frame: DataFrame) -> DataFrame:
     """As cut, for larger frames: columns in a compressed file, of which later steps read what they need."""
-    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    path = f"{_folder.get() or shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, reduced, shuffle_partitions, spread, table, written
+from fieldweave.llm.common import cut, reduced, shuffle_partitions, spread, table, workspace, written
 from fieldweave.llm.components import components
 from fieldweave.llm.words import Words, blocks, mixed, rolling
 
@@ -194,7 +194,7 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     # Which texts can be similar: components of links within buckets.
     banded = texts.where(F.size("bands") > 0).select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     leaders = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
-    links = banded.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = reduced(banded, leaders, ["bucket"]).join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     could = components(links)
     candidates = cut(texts.drop("bands").join(could, "node"))
 
@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row left of each class: that of the smallest id. Null ids that name no class keep their rows."""
-    found = near_duplicates(docs, id_column, text_column)
-    keepers = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("__id"), F.coalesce("digest", F.lit(b"")).alias("__digest")).distinct()
+    with workspace(docs.sparkSession):
+        found = near_duplicates(docs, id_column, text_column)
+        keepers = cut(found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("__id"), F.coalesce("digest", F.lit(b"")).alias("__digest")).distinct())
     digest = F.coalesce(F.unhex(F.md5(F.col(text_column).cast("binary"))), F.lit(b""))
     kept = docs.withColumn("__digest", digest).withColumn("__id", F.col(id_column))
     met = kept.join(keepers, (kept["__digest"] == keepers["__digest"]) & kept["__id"].eqNullSafe(keepers["__id"]), "left_semi")

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import WORD, cut, reduced, spread, table, written
+from fieldweave.llm.common import WORD, cut, reduced, spread, table, workspace, written
 from fieldweave.llm.jaccard_join import similar
 from fieldweave.llm.words import Words, blocks, mixed, rolling
 
@@ -145,6 +145,23 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     flat = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
     kind = dict(flat.dtypes)["id"]
+    with workspace(docs.sparkSession):
+        cases = cut(repeats(flat, least_words, window, threshold, values, recall))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text, *own in batch.itertuples(index=False):
+                rows += [(i, *span) for span in spans(text, list(zip(*own)), least_words)]
+            yield pd.DataFrame(rows, columns=["id", "start", "end", "n_words", "kept_id"])
+
+    out = reduced(flat, cases, ["id"]).join(cases, "id").select("id", "text", *[F.col(f"cases.{c}").alias(c) for c in ("begin", "end", "kept")])
+    return out.mapInPandas(settle, f"id {kind}, start long, end long, n_words long, kept_id {kind}").withColumnRenamed("id", id_column)
+
+
+def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, values: int, recall: float) -> DataFrame:
+    """id and cases (ranges of words and the document that keeps them) of the documents of flat (id, text) with something to be removed."""
+    kind = dict(flat.dtypes)["id"]
     around = least_words - window + 1
 
     # Equal texts: the one of the smallest id stays, and only it is looked at further.
@@ -153,9 +170,10 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     copies = cut(digests.join(copied, "digest").where("id <> kept").select("id", "kept"))
 
     # Paragraphs that are similar to one of an earlier document.
-    units = written(paragraphs(spread(flat), least_words))
-    classes = similar(units, ["id", "begin", "end"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, only_linked=True)
-    alike = cut(classes.where(F.col("class_key.id") != F.col("id")).select("id", "begin", "end", F.col("class_key.id").alias("kept")))
+    with workspace(flat.sparkSession):
+        units = written(paragraphs(spread(flat), least_words))
+        classes = similar(units, ["id", "begin", "end"], threshold=threshold, values=values, band_rows=tuned_rows(values, threshold, recall), step=values // 3, only_linked=True)
+        alike = cut(classes.where(F.col("class_key.id") != F.col("id")).select("id", "begin", "end", F.col("class_key.id").alias("kept")))
     gone = alike.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
 
     # Places, and which of them different texts share.
@@ -186,7 +204,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     whole = cut(whole.where(F.col("gone").isNull() | ~touched(F.col("at"), F.col("to"))).select("id", "at", "to", "piece"))
     first = cut(whole.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("piece", "kept"))
     later = cut(whole.join(first, "piece").where("id <> kept").select("id", F.col("at").alias("begin"), F.col("to").alias("end"), "kept"))
-    told = later.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
+    done = later.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
 
     # Every other run of least_words words around the places.
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,23 +225,13 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     codes.append(rolled[begins])
                 yield pd.DataFrame({"id": np.concatenate(ids), "at": np.concatenate(places).astype(np.int32), "code": np.concatenate(codes).astype(np.int64)})
 
-    looked_at = reduced(flat, near, ["id"]).join(near, "id").join(told, "id", "left")
+    looked_at = reduced(flat, near, ["id"]).join(near, "id").join(done, "id", "left")
     looked_at = looked_at.select("id", "text", F.col("places.at").alias("at"), *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
     single = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
     first = cut(single.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
     ends = single.join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept")
-    cases = later.union(ends).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept")).groupBy("id").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("cases"))
-    cases = cut(cases)
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text, *own in batch.itertuples(index=False):
-                rows += [(i, *span) for span in spans(text, list(zip(*own)), least_words)]
-            yield pd.DataFrame(rows, columns=["id", "start", "end", "n_words", "kept_id"])
-
-    out = reduced(flat, cases, ["id"]).join(cases, "id").select("id", "text", *[F.col(f"cases.{c}").alias(c) for c in ("begin", "end", "kept")])
-    return out.mapInPandas(settle, f"id {kind}, start long, end long, n_words long, kept_id {kind}").withColumnRenamed("id", id_column)
+    told = later.union(ends).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept"))
+    return told.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("cases"))
 
 
 def marked(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

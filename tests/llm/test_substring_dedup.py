@@ -160,3 +160,15 @@ def test_pieces_are_equal_where_words_are():
         found.append({(a - before, e - before, c) for a, e, c in zip(at.tolist(), end.tolist(), code.tolist()) if a >= before and 0 < e <= before + 300})
     assert len(found[0] & found[1]) >= 10
     assert np.array_equal(sub.marked(np.array([-3, 4, 9]), np.array([2, 6, 30]), 10), [True, True, False, False, True, True, False, False, False, True])
+
+
+def test_tables_of_the_work_are_deleted(spark, small):
+    from pathlib import Path
+
+    from fieldweave.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = sub.op8_paragraph_banding(spark, small)
+    assert not [p for p in set(folder.iterdir()) - before if p.name.startswith(("work-", "table-"))]
+    assert found.count() > 0
