@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import jaccard_join, language_id, packing, quality_rules, substring_dedup
-from fieldweave.llm.common import shared_folder, table
+from fieldweave.llm.common import delete, shared_folder, table, workspace
 
 #: No SQL gives language profiles, MinHash joins and packing; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that labelled documents have; those without a letter go."""
+    """Documents in a language that labelled documents have; those without a letter, or unlike all that was learned, go."""
     return language_id.keep_known(docs, docs.where(~language_id.held_out()))
 
 
@@ -53,9 +53,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of documents; every stage's rows are written and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The packed sequences of documents; every stage's rows are written and read again. Only the last stage's rows are left in the shared folder."""
+    docs, folder, read = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if read:
+            delete(spark, read)  # all that follows reads this stage's rows
+        docs, read = spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}"
     return docs
