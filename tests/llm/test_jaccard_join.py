@@ -51,9 +51,9 @@ def test_against_all_pairs(spark, block_rows):
 @pytest.mark.parametrize("block_rows", [500, 7])
 def test_chains_are_compared_by_bucket(spark, block_rows):
     rng = random.Random(12)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(1200)]
-    rows = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(130)]  # each like its neighbours, far ones not
-    rows += [(200 + k, " ".join(words[:60] + words[k : k + 3])) for k in range(0, 60, 3)] + [(300, rows[5][1])]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(50)]  # each like its neighbours, far ones not
+    rows += [(200 + k, " ".join(words[:60] + words[k : k + 3])) for k in range(0, 30, 3)] + [(300, rows[5][1])]
     docs = spark.createDataFrame(rows, "id long, text string")
     got = join.similar(docs, ["id"], block_rows=block_rows)
     assert sorted(str((r.id, r.class_key.id, r.n_links)) for r in got.collect()) == brute(rows)
