@@ -31,6 +31,12 @@ def in_box(lat: Column, lng: Column, box: Box) -> Column:
     return F.coalesce((lat > box.south) & (lat < box.north) & (lng > box.west) & (lng < box.east), F.lit(False))
 
 
+def geometry_in_box(geometry: Column, box: Box) -> Column:
+    """in_box of a point given as text; one that can't be read is outside."""
+    point = wkt_point(geometry)
+    return in_box(point["lat"], point["lng"], box)
+
+
 def in_banded_box(lat: Column, lng: Column, box: Box, band: float, west_above: float, west_below: float) -> Column:
     """Inside the box with another western limit above and up to a latitude; the box's own one is not used. Latitude 0 counts as missing."""
     west = F.when(lat > band, F.lit(west_above)).otherwise(F.lit(west_below))

@@ -76,6 +76,20 @@ def csv_field(column: Column) -> Column:
     return F.when(column.rlike('[,"\n]'), quoted).otherwise(column)
 
 
+def data_answer(data: Column) -> Column:
+    """The JSON answer that carries data."""
+    return F.to_json(F.struct(data.alias("data")))
+
+
+def error_answer(message: Column) -> Column:
+    """The JSON answer that says what went wrong."""
+    return F.to_json(F.struct(message.alias("error")))
+
+
+def success_answer() -> Column:
+    return F.to_json(F.struct(F.lit(True).alias("success")))
+
+
 def base64_text(column: Column) -> Column:
     """The UTF-8 text that a base64 text holds."""
     return F.decode(F.unbase64(column), "UTF-8")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,13 +9,15 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions.dates import due_label
 from fieldweave.functions.values import first_given, plural, text_of
+from fieldweave.session import shared_folder
 
 
-def group_collect(rows: DataFrame, key: Column, order: Sequence[Column], item: Column, key_name: str = "key") -> DataFrame:
-    """key, items in order and their number. Lists are gathered, so a group must be small enough for one row; group_items has no such bound."""
-    one = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], item.alias("item"))
-    grouped = rows.groupBy(key.alias(key_name)).agg(F.sort_array(F.collect_list(one)).alias("list"))
-    return grouped.select(key_name, F.transform("list", lambda x: x["item"]).alias("items"), F.size("list").cast("bigint").alias("n"))
+def group_collect(rows: DataFrame, key: Column, order: Sequence[Column], item: Column, key_name: str = "key", most: int = 1000) -> DataFrame:
+    """key, part (from 0), n (items of the key) and items in order, at most so many: a larger group has several rows."""
+    numbered = group_items(rows, key, order, item, key_name)
+    part = F.floor((F.col("position") - 1) / most).cast("int")
+    grouped = numbered.groupBy(key_name, part.alias("part"), "n").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("list"))
+    return grouped.select(key_name, "part", "n", F.transform("list", lambda x: x["item"]).alias("items"))
 
 
 def group_items(rows: DataFrame, key: Column, order: Sequence[Column], item: Column, key_name: str = "key") -> DataFrame:
@@ -26,9 +27,7 @@ def group_items(rows: DataFrame, key: Column, order: Sequence[Column], item: Col
     the ranges' counts. So a key with very many rows is spread over tasks. The order must tell a key's rows apart.
     """
     names = [f"o{i}" for i in range(len(order))]
-    context = rows.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.select(key.alias("key"), *[o.alias(n) for n, o in zip(names, order)], item.alias("item")).repartitionByRange(parts, "key", *names)
     dealt = ranged.withColumn("part", F.spark_partition_id()).checkpoint()  # ranges come from a sample, so they are kept
@@ -45,8 +44,8 @@ def assigned_to(column: str = "assignee") -> Column:
 
 
 def task_cards(tasks: DataFrame, today, team: Mapping[str, str], order: Sequence[Column]) -> DataFrame:
-    """One message for each assignee: mention, subtitle and a line for each task in order."""
-    return _cards(group_collect(tasks, assigned_to(), order, _card_line(today), "who"), team, ["items"])
+    """A message for each assignee: mention, subtitle and a line for each task in order; who has very many tasks gets several, numbered by part."""
+    return _cards(group_collect(tasks, assigned_to(), order, _card_line(today), "who"), team, ["part", "items"])
 
 
 def task_card_lines(tasks: DataFrame, today, team: Mapping[str, str], order: Sequence[Column]) -> DataFrame:
@@ -75,7 +74,7 @@ def _cards(grouped: DataFrame, team: Mapping[str, str], carried: Sequence[str])
 
 def delivery_totals(cards: DataFrame, delivered: Column) -> DataFrame:
     """Tasks delivered and the number of assignees, in one row."""
-    return cards.agg(F.coalesce(F.sum(F.when(delivered, F.col("n"))), F.lit(0)).alias("count"), F.count_distinct("who").alias("assignees"))
+    return cards.agg(F.coalesce(F.sum(F.when(delivered, F.size("items"))), F.lit(0)).alias("count"), F.count_distinct("who").alias("assignees"))
 
 
 def ingest_metrics(rows: DataFrame, key: Column, accepted: Column) -> DataFrame:

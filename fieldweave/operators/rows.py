@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -45,9 +48,36 @@ def in_list(frame: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 
 
 def page(frame: DataFrame, order: Sequence[Column | str], limit: int, offset: int = 0) -> DataFrame:
+    """Rows by offset. Limit and offset rows come together in one task, so deep pages are for page_after."""
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(frame: DataFrame, key: str, limit: int, after=None) -> DataFrame:
+    """The next rows in order of a key that tells them apart, after the last one that was seen: as cheap for the last page as for the first."""
+    return (frame if after is None else frame.where(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
+
+
+def scan(frame: DataFrame, *predicates: Callable[[DataFrame], Column]) -> DataFrame:
+    """The frame's rows for which all predicates hold; what they say of columns reaches the scan."""
+    return reduce(lambda rows, holds: rows.where(holds(rows)), predicates, frame)
+
+
+def filter_counts(frame: DataFrame, keys: Sequence[Column | str], condition: Column) -> DataFrame:
+    """keys and how many rows there are before and after a filter."""
+    return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_before"), F.count_if(condition).alias("n_after"))
+
+
+def counted(frame: DataFrame, condition: Column) -> tuple[DataFrame, Observation]:
+    """The filtered rows, and an observation of n_before and n_after that is filled when they are first used."""
+    seen = Observation()
+    return frame.observe(seen, F.count(F.lit(1)).alias("n_before"), F.count_if(condition).alias("n_after")).where(condition), seen
+
+
+def numeric_order(key: str) -> list[Column]:
+    """By the number that a key's text is, 9 before 10; others follow by their characters."""
+    return [F.col(key).try_cast("bigint").asc_nulls_last(), F.col(key)]
+
+
 def key_pages(frame: DataFrame, key: str, pages: int) -> list[DataFrame]:
     """The whole frame as pages of equal ranges of a whole-numbered key; rows without a key are on the first page."""
     low, high = frame.agg(F.min(key), F.max(key)).first()
@@ -64,6 +94,21 @@ def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pages)
 
 
+READ_ERRORS = (OSError, PySparkException, Py4JJavaError)
+
+
+def retried(source: Callable[[], DataFrame], tries: int = 3, wait: float = 5.0) -> DataFrame:
+    """The source's frame; if it can't be read it is asked again, after ``wait`` seconds, then twice as many, and so on."""
+    for number in range(1, tries + 1):
+        try:
+            return source()
+        except READ_ERRORS:
+            if number == tries:
+                raise
+            time.sleep(wait * number)
+    raise ValueError("tries must be 1 or more")
+
+
 def first_nonempty(sources: Sequence[Callable[[], DataFrame]], accept: Callable[[DataFrame], bool] = lambda _: True) -> DataFrame | None:
     """The first source that can be read, is accepted and has a row; later ones are not touched. None if there is none."""
     for source in sources:
@@ -71,7 +116,7 @@ def first_nonempty(sources: Sequence[Callable[[], DataFrame]], accept: Callable[
             frame = source()
             if accept(frame) and not frame.isEmpty():
                 return frame
-        except Exception as failed:  # noqa: BLE001  a source that fails counts as empty
+        except READ_ERRORS as failed:  # such a source counts as empty
             print(f"source failed, trying the next: {str(failed).splitlines()[0]}")
     return None
 
@@ -91,22 +136,17 @@ def snapshot_order(date: str = "date", key: str = "id") -> list[Column]:
 def kept_once(frame: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: str = "first") -> DataFrame:
     """One row for each key: the first or the last in the order. Keys that are null or empty are left out.
 
-    The row is found by an aggregate that combines before the shuffle, so a key with very many rows
-    sends one row a task.
+    Spark cuts to the first row of each key before the shuffle, too, so a key with very many rows sends one row a task.
     """
     if keep not in ("first", "last"):
         raise ValueError(keep)
-    rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
-    row = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
-    chosen = (F.min_by if keep == "first" else F.max_by)(row, rank)
-    return frame.where(reduce(lambda a, b: a & b, [given(frame, k) for k in keys])).groupBy(*keys).agg(chosen.alias("__row")).select("__row.*")
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(by if keep == "first" else [o.desc() for o in by])))
+    there = frame.where(reduce(lambda a, b: a & b, [given(frame, k) for k in keys]))
+    return there.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
 def argmax_first(frame: DataFrame, keys: Sequence[str], value: Column, tie: Column, returned: Mapping[str, Column]) -> DataFrame:
     """For each key what the row with the largest value has; of equal values the row with the smallest tie."""
     chosen = F.min_by(F.struct(*[c.alias(n) for n, c in returned.items()]), F.struct((-value).alias("v"), tie.alias("t")))
     return frame.groupBy(*keys).agg(chosen.alias("__row")).select(*keys, "__row.*")
-
-
-def numbered(frame: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "seq") -> DataFrame:
-    return frame.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

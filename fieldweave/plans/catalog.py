@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from fieldweave.functions import dates, geo, values
 from fieldweave.operators import groups, joins, rows
 from fieldweave.plans import workflow
-from fieldweave.sources import activities
+from fieldweave.session import shared_folder
+from fieldweave.sources import activities, paged
 from fieldweave.streaming.ingest import appended, ingest_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,7 @@ def missing_keys(spark, sf_dir):
     SELECT keys.k AS "user_id",
       CASE WHEN one.lat <> 0 AND one.lng <> 0 THEN 'one' ELSE 'two' END AS source,
       CASE WHEN one.lat <> 0 AND one.lng <> 0 THEN one.address ELSE two.address END AS address,
+      CASE WHEN one.lat <> 0 AND one.lng <> 0 THEN one.lat ELSE two.lat END::DOUBLE AS lat, CASE WHEN one.lat <> 0 AND one.lng <> 0 THEN one.lng ELSE two.lng END::DOUBLE AS lng,
       CASE WHEN one.lat <> 0 AND one.lng <> 0 THEN coalesce(two.species, '') ELSE two.species END AS species
     FROM keys LEFT JOIN one USING (k) LEFT JOIN two USING (k) WHERE (one.lat <> 0 AND one.lng <> 0) OR (two.lat <> 0 AND two.lng <> 0)
     """
@@ -121,7 +122,7 @@ def lookup_cascade(spark, sf_dir):
     one = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("lat"), (F.col("c_nationkey") + 1.0).alias("lng"), F.col("c_name").alias("address"), F.lit("").alias("species"))
     two = supplier.select(F.col("s_suppkey").alias("user_id"), F.col("s_acctbal").alias("lat"), (F.col("s_nationkey") + 1.0).alias("lng"), F.col("s_name").alias("address"), F.lit("two").alias("species"))
     found = joins.lookup_cascade(table(spark, sf_dir, "events"), "user_id", [("one", one), ("two", two)], backfill=("two", "species", {"one"}))
-    return found.select("user_id", "source", "address", "species")
+    return found.select("user_id", "source", "address", "species", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
 
 
 @query("SELECT a.c_custkey, b.s_name AS ref_s_name FROM customer a LEFT JOIN supplier b ON a.c_custkey = b.s_suppkey")
@@ -134,10 +135,20 @@ def page_offset(spark, sf_dir):
     return rows.page(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], 200, 400)
 
 
-@query("(SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 200) UNION ALL (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 200 OFFSET 200)")
+@query("SELECT event_id, event_type FROM events WHERE event_id > 4999 ORDER BY event_id LIMIT 200")
+def page_cursor(spark, sf_dir):
+    return rows.page_after(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 200, 4999)
+
+
+@query("SELECT event_id, event_type FROM events")
 def union_pages(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return rows.union_pages([rows.page(e, ["event_id"], 200, offset) for offset in (0, 200)])
+    """All events, as pages of 500 raw records in order, read up to the first page that is short."""
+    e = table(spark, sf_dir, "events")
+    record = F.to_json(F.struct("event_id", "event_type"))
+    numbered = groups.group_items(e, F.lit("all"), [F.col("event_id"), F.col("ts"), F.col("event_type")], record)
+    before = F.col("position") - 1
+    pages = numbered.select((before - before % 500).alias("offset"), (before % 500).alias("position"), F.col("item").alias("record"))
+    return paged.until_short(pages, 500).select(F.from_json("record", "event_id long, event_type string").alias("r")).select("r.*")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -161,9 +172,10 @@ def fallback_first_nonempty(spark, sf_dir):
 # Filters.
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 500")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def where_conjunction(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 500").select("o_orderkey", "o_custkey")
+    clause = paged.where_clause({"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    return table(spark, sf_dir, "orders").where(clause).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -238,17 +250,23 @@ def type_eligibility(spark, sf_dir):
 # Groups and counts.
 
 
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 3 = 0")
+def ticketed_events(spark, sf_dir):
+    """Public events and workshops; here an order whose number 3 divides is a public one."""
+    return _event_shape(spark, sf_dir).where(workflow.is_ticketed()).select("id")
+
+
 @query("SELECT c_nationkey, c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_mktsegment) DESC, c_custkey) = 1")
 def argmax_first_tie(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return rows.argmax_first(c, ["c_nationkey"], F.length("c_mktsegment"), F.col("c_custkey"), {"c_custkey": F.col("c_custkey"), "c_mktsegment": F.col("c_mktsegment")})
 
 
-@query("SELECT coalesce(user_id::VARCHAR, 'Unassigned') AS who, string_agg(event_type, '; ' ORDER BY ts, event_id) AS items, count(*) AS n FROM events WHERE value > 50 GROUP BY 1")
+@query("SELECT who, part, n, string_agg(event_type, '; ' ORDER BY ts, event_id) AS items FROM (SELECT *, ((row_number() OVER (PARTITION BY who ORDER BY ts, event_id) - 1) // 1000)::INTEGER AS part, count(*) OVER (PARTITION BY who) AS n FROM (SELECT *, coalesce(user_id::VARCHAR, 'Unassigned') AS who FROM events)) GROUP BY who, part, n")
 def group_collect(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 50")
+    e = table(spark, sf_dir, "events")
     who = F.coalesce(values.first_given(F.col("user_id").cast("string")), F.lit("Unassigned"))
-    return groups.group_collect(e, who, [F.col("ts"), F.col("event_id")], F.col("event_type"), "who").select("who", values.joined(F.col("items")).alias("items"), "n")
+    return groups.group_collect(e, who, [F.col("ts"), F.col("event_id")], F.col("event_type"), "who").select("who", "part", values.joined(F.col("items")).alias("items"), "n")
 
 
 @query("SELECT coalesce(user_id::VARCHAR, 'Unassigned') AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY user_id) AS n, event_type AS item FROM events")
@@ -272,33 +290,34 @@ def _order_tasks(o):
     return o.select(F.col("o_orderkey").cast("string").alias("title"), F.col("o_orderstatus").alias("evName"), F.col("o_orderpriority").alias("phase"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("assignee"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"), F.lit("").alias("evDate"), "o_orderkey")
 
 
-@query(
-    """
-    SELECT who, count(*) AS n, 'New tasks assigned to ' || CASE who WHEN '1-URGENT' THEN '<users/a@example.org>' ELSE who END || ' (' || count(*) || ')' AS message,
-      count(*) || ' task' || CASE WHEN count(*) > 1 THEN 's' ELSE '' END || ' assigned' AS subtitle, 'tasks_' || replace(who, ' ', '') AS card_id
-    FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'Unassigned' ELSE o_orderpriority END AS who FROM orders WHERE o_custkey % 10 = 3) GROUP BY who
-    """
-)
-def task_cards(spark, sf_dir):
-    tasks = _order_tasks(table(spark, sf_dir, "orders").where("o_custkey % 10 = 3"))
-    return groups.task_cards(tasks, AS_OF, {"1-URGENT": "a@example.org"}, [F.col("o_orderkey")]).drop("items")
-
-
-@query(
-    """
+_LINES_SQL = """
     SELECT who, n, position, 'New tasks assigned to ' || CASE who WHEN '1-URGENT' THEN '<users/a@example.org>' ELSE who END || ' (' || n || ')' AS message,
       n || ' task' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' assigned' AS subtitle, 'tasks_' || replace(who, ' ', '') AS card_id,
       o_orderpriority || ' · ' || o_orderstatus AS "topLabel", o_orderkey::VARCHAR AS text,
       'Due: ' || CASE WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Tomorrow' WHEN d = -1 THEN 'Yesterday' WHEN d < 0 THEN (-d) || ' days overdue' WHEN d <= 14 THEN 'In ' || d || ' days' ELSE strftime(o_orderdate, '%b %-d, %Y') END AS "bottomLabel"
     FROM (SELECT *, row_number() OVER (PARTITION BY who ORDER BY o_orderkey) AS position, count(*) OVER (PARTITION BY who) AS n
       FROM (SELECT *, date_diff('day', DATE '1998-06-15', o_orderdate::DATE) AS d, CASE WHEN o_orderkey % 7 = 0 THEN 'Unassigned' ELSE o_orderpriority END AS who FROM orders))
-    """
-)
+"""
+
+
+@query(_LINES_SQL)
 def task_card_lines(spark, sf_dir):
     tasks = _order_tasks(table(spark, sf_dir, "orders"))
     return groups.task_card_lines(tasks, AS_OF, {"1-URGENT": "a@example.org"}, [F.col("o_orderkey")])
 
 
+@query(
+    f"""
+    SELECT who, part, n, any_value(message) AS message, any_value(subtitle) AS subtitle, any_value(card_id) AS card_id, string_agg("topLabel" || ' | ' || text || ' | ' || "bottomLabel", chr(10) ORDER BY position) AS lines
+    FROM (SELECT *, ((position - 1) // 1000)::INTEGER AS part FROM ({_LINES_SQL})) GROUP BY who, part, n
+    """
+)
+def task_cards(spark, sf_dir):
+    cards = groups.task_cards(_order_tasks(table(spark, sf_dir, "orders")), AS_OF, {"1-URGENT": "a@example.org"}, [F.col("o_orderkey")])
+    line = lambda x: F.concat_ws(" | ", x["topLabel"], x["text"], x["bottomLabel"])
+    return cards.withColumn("lines", F.array_join(F.transform("items", line), "\n")).drop("items")
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS told FROM orders")
 def map_lookup(spark, sf_dir):
     return joins.renamed_values(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": "finished", "O": "open"}, "told").select("o_orderkey", "told")
@@ -336,12 +355,12 @@ _KINDS = ["Field Trip", "Private Volunteer", "Public Volunteer", "Public Program
     f"""
     WITH template(type, phase, tasks, day_offset) AS (VALUES {_TEMPLATE_SQL}),
     tasks AS (SELECT type, phase, day_offset, unnest(range(1, tasks + 1)) AS task FROM template),
-    typed AS (SELECT o_orderkey, o_orderdate::DATE AS d, ['{"', '".join(_KINDS)}'][1 + (o_orderkey % 5)] AS type FROM orders WHERE o_orderstatus = 'P')
+    typed AS (SELECT o_orderkey, o_orderdate::DATE AS d, ['{"', '".join(_KINDS)}'][1 + (o_orderkey % 5)] AS type FROM orders)
     SELECT o_orderkey, type, phase, task::INTEGER AS task, CASE WHEN day_offset IS NULL THEN d - 60 ELSE d + day_offset::INTEGER END AS due FROM typed JOIN tasks USING (type)
     """
 )
 def task_expansion(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("o_orderkey") % 5).cast("int"))
     return workflow.expand_tasks(o, F.col("d"), kind, F.date_sub("d", 60), ["o_orderkey"])
 
@@ -492,9 +511,9 @@ def csv_quote(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.csv_field(F.concat("p_name", F.lit(', "'), "p_type", F.lit('"'))).alias("field"))
 
 
-@query("SELECT p_partkey, replace(p_name || ' / ' || p_brand, ' ', '%20') AS x, base64(encode(p_name)) AS b, p_name AS back FROM part")
+@query("SELECT p_partkey, url_encode(p_name || ' / ' || p_brand) AS x, base64(encode(p_name)) AS b, p_name AS back FROM part")
 def encodings(spark, sf_dir):
-    encoded = F.replace(F.replace(values.percent_encoded(F.concat("p_name", F.lit(" / "), "p_brand")), F.lit("%2F"), F.lit("/")), F.lit("%23"), F.lit("#"))
+    encoded = values.percent_encoded(F.concat("p_name", F.lit(" / "), "p_brand"))
     b = values.to_base64(F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", encoded.alias("x"), b.alias("b"), values.base64_text(b).alias("back"))
 
@@ -509,8 +528,7 @@ def rename_passthrough(spark, sf_dir):
 @query("SELECT event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_ingest(spark, sf_dir):
     """The events table as a stream of files, ingested until all that is there has been taken."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-ingest-")
-    work = f"{base}/ingest-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+    work = f"{shared_folder(spark)}/ingest-{dt.datetime.now():%Y%m%d%H%M%S%f}"
     batch = table(spark, sf_dir, "events")
     source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     shape = lambda e: e.select("event_id", "event_type", "ts")
@@ -520,3 +538,6 @@ def stream_ingest(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_append(spark, sf_dir)
+
+
+from fieldweave.plans import landed  # noqa: E402,F401  its queries add themselves

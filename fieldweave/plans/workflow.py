@@ -111,6 +111,11 @@ def event_card(events: DataFrame) -> DataFrame:
     )
 
 
+def payload(rows: DataFrame, key: str = "id") -> DataFrame:
+    """key and payload: the other columns as JSON, as a service is sent them."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("payload"))
+
+
 def task_titles(tasks: DataFrame, tag: str = "") -> DataFrame:
     """Title, description and due day of tasks that have one."""
     title = F.concat(F.lit(f"[{tag}] " if tag else ""), text_of("title"), F.lit(" — "), text_of("evName"))

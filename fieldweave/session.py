@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere: dates are derived from epoch milliseconds in an explicit zone.
@@ -30,6 +32,24 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one on a local master, else an error: other machines could not read it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getCheckpointDir()
+    return named
+
+
+def place(spark: SparkSession, path: str) -> tuple:
+    """The store that holds a path, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def problems(spark: SparkSession) -> list[str]:
     """Settings that would change results."""
     zone = spark.conf.get("spark.sql.session.timeZone")

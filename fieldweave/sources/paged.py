@@ -5,33 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fieldweave.operators.rows import retried, scan
+
 Fetch = Callable[[int, int], list[str]]
 
 
-class PageRange(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        self.offset, self.limit = offset, limit
+class Pages(InputPartition):
+    """Every so many pages from a first one on, to the last one that may be there."""
+
+    def __init__(self, first: int, step: int, last: int | None):
+        self.first, self.step, self.last = first, step, last
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch):
-        self.limit, self.total, self.fetch = int(options.get("limit", 500)), int(options.get("total", 0)), fetch
+        self.limit, self.total, self.lanes, self.fetch = int(options.get("limit", 500)), options.get("total"), int(options.get("lanes", 8)), fetch
 
-    def partitions(self) -> list[PageRange]:
-        return [PageRange(offset, self.limit) for offset in range(0, max(self.total, 1), self.limit)]
+    def partitions(self) -> list[Pages]:
+        if self.total is None:
+            return [Pages(lane, self.lanes, None) for lane in range(self.lanes)]
+        pages = -(-int(self.total) // self.limit)
+        return [Pages(page, 1, page) for page in range(max(pages, 1))]
 
-    def read(self, part: PageRange) -> Iterator[tuple[int, int, str]]:
-        for i, record in enumerate(self.fetch(part.offset, part.limit)):
-            yield part.offset, i, record
+    def read(self, part: Pages) -> Iterator[tuple[int, int, str]]:
+        page = part.first
+        while part.last is None or page <= part.last:
+            records = self.fetch(page * self.limit, self.limit)
+            for i, record in enumerate(records):
+                yield page * self.limit, i, record
+            if len(records) < self.limit:
+                return
+            page += part.step
 
 
 def paged_source(name: str, fetch: Fetch) -> type[DataSource]:
     """A data source of that name to register with spark.dataSource; fetch(offset, limit) gives JSON texts.
 
+    Options: limit (records a page) and total (records there are: a task for each page). Without a total, pages are dealt to
+    ``lanes`` tasks in turn, and each goes on until one of its pages is short, so all is read however much there is.
+
     fetch is all that knows the network. Its failure fails the task and is retried by Spark; a page that
     can't be read fails the load, so no part of it is taken for the whole.
     """
@@ -80,6 +96,11 @@ def where_clause(conditions: dict[str, str | int]) -> str:
     return " AND ".join(f"{k}={quoted(v)}" for k, v in conditions.items())
 
 
+def read_filtered(spark: SparkSession, path: str, schema: str, *predicates: Callable[[DataFrame], Column], tries: int = 3, wait: float = 5.0) -> DataFrame:
+    """Landed JSON records for which all predicates hold, which are pushed down to the scan; what can't be read is tried again."""
+    return retried(lambda: scan(spark.read.schema(schema).json(path), *predicates), tries, wait)
+
+
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
     """Landed pages, one file a page, one JSON object a line, as raw records with their file."""
     return spark.read.text(folder).select(F.input_file_name().alias("page"), F.col("value").alias("record"))

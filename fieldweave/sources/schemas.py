@@ -13,7 +13,7 @@ OBJECT = (
     "closestAddress string, address string, commonName string, treeId string, stewardshipActivities string, species struct<`__ref`: string, commonName: string>, tree struct<`__ref`: string, id: string>"
 )
 
-#: Columns of the flat tables, all text on disk.
+#: Columns of the flat tables, all text on disk.
 TABLES = {
     "activities": ["id", "date", "treeId", "species", "address", "activitiesDone", "durationMinutes", "scrapedAt"],
     "trees": ["treeId", "latitude", "longitude", "address", "species"],

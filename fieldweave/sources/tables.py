@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.operators.joins import incremental_append
 from fieldweave.operators.rows import kept_once, snapshot_order
+from fieldweave.session import place
 from fieldweave.sources.schemas import TABLES, ddl
 
 #: Quotes doubled, nothing written for an empty text, line breaks within quotes.
@@ -36,8 +39,13 @@ class Tables:
             return self.spark.createDataFrame([], ddl(name))
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Replace the table; no rows leave it empty."""
-        rows.select(*TABLES[name]).write.mode("overwrite").options(**CSV).csv(self.path(name))
+        """Replace the table; no rows leave it empty. The rows are written aside first, so they may come from the table itself."""
+        store, old = place(self.spark, self.path(name))
+        aside = f"{self.path(name)}-{uuid.uuid4().hex}"
+        rows.select(*TABLES[name]).write.options(**CSV).csv(aside)
+        store.delete(old, True)
+        if not store.rename(place(self.spark, aside)[1], old):
+            raise OSError(f"{name} is in {aside}, as it could not be put in its place")
 
     def create_missing(self) -> list[str]:
         """Tables that were not there, now empty."""
@@ -74,6 +82,48 @@ class Tables:
         return self.append_new("activities", activities, "id", order), self.append_new("trees", trees, "treeId", ["treeId"])
 
 
+class Versions:
+    """A Parquet table as numbered versions under a folder. A version counts from the moment its number is taken, which only one writer can do."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def latest(self) -> int:
+        store, taken = place(self.spark, f"{self.folder}/taken")
+        return max((int(f.getPath().getName()) for f in store.listStatus(taken)), default=0) if store.exists(taken) else 0
+
+    def read(self, number: int | None = None) -> DataFrame:
+        number = self.latest() if number is None else number
+        if not number:
+            return self.spark.createDataFrame([], self.schema)
+        data = self.spark.read.text(f"{self.folder}/taken/{number:09d}").first().value
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{data}")
+
+    def put(self, rows: DataFrame, after: int) -> bool:
+        """Write the version after the one that was read; False if another writer was quicker, and then nothing changes."""
+        data = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{data}")
+        store, number = place(self.spark, f"{self.folder}/taken/{after + 1:09d}")
+        try:
+            out = store.create(number, False)
+        except Py4JJavaError:
+            store.delete(place(self.spark, f"{self.folder}/{data}")[1], True)
+            if not store.exists(number):
+                raise
+            return False
+        out.writeBytes(data)
+        out.close()
+        return True
+
+    def update(self, merge: Callable[[DataFrame], DataFrame], tries: int = 2) -> int:
+        """Put what merge makes of the newest version; if another writer was quicker, merge again with what that one wrote."""
+        for _ in range(tries):
+            number = self.latest()
+            if self.put(merge(self.read(number)), number):
+                return number + 1
+        raise RuntimeError(f"other writers were quicker {tries} times")
+
+
 def envelope(rows: DataFrame, strategy: str) -> DataFrame:
     """One row with the number of rows, the strategy that gave them, and the rows: an answer to a caller, so for small results."""
     return rows.agg(F.count(F.lit(1)).alias("count"), F.lit(strategy).alias("strategy"), F.collect_list(F.struct(*rows.columns)).alias("activities"))

@@ -132,3 +132,42 @@ def test_event_rows(spark):
     tickets = {r.id: r for r in workflow.ticket(events).collect()}
     assert tickets["1"].capacity == 50 and tickets["2"].capacity == 20 and tickets["2"].online and tickets["1"].end == "2026-04-20T18:00:00Z"
     assert events.where(workflow.is_ticketed()).count() == 1
+
+
+def test_pages_by_cursor(spark):
+    nums = spark.range(10).toDF("n")
+    seen, after = [], None
+    while got := [r.n for r in rows.page_after(nums, "n", 4, after).collect()]:
+        seen, after = seen + got, got[-1]
+    assert seen == list(range(10))
+
+
+def test_scan_counts_and_numeric_order(spark):
+    nums = spark.range(10).toDF("n")
+    assert [r.n for r in rows.scan(nums, lambda f: f["n"] > 3, lambda f: f["n"] % 2 == 0).collect()] == [4, 6, 8] and rows.scan(nums).count() == 10
+    kept, seen = rows.counted(nums, F.col("n") > 6)
+    assert kept.count() == 3 and seen.get == {"n_before": 10, "n_after": 3}
+    given = spark.createDataFrame([("10",), ("x",), ("9",), (None,), ("2",)], "id string")
+    assert [r.id for r in given.orderBy(*rows.numeric_order("id")).collect()] == ["2", "9", "10", None, "x"]
+
+
+def test_a_source_is_tried_again(spark):
+    left = [OSError("busy"), OSError("busy")]
+
+    def source():
+        if left:
+            raise left.pop()
+        return spark.range(3)
+
+    assert rows.retried(source, tries=3, wait=0).count() == 3
+    left += [OSError("gone")] * 2
+    with pytest.raises(OSError, match="gone"):
+        rows.retried(source, tries=2, wait=0)
+    with pytest.raises(ZeroDivisionError):  # not a read error
+        rows.first_nonempty([lambda: 1 / 0, lambda: spark.range(1)])
+
+
+def test_large_groups_have_several_rows(spark):
+    given = spark.range(25).selectExpr("'k' AS k", "id")
+    got = groups.group_collect(given, F.col("k"), [F.col("id")], F.col("id"), most=10).orderBy("part").collect()
+    assert [(r.part, r.n, r["items"]) for r in got] == [(0, 25, list(range(10))), (1, 25, list(range(10, 20))), (2, 25, list(range(20, 25)))]

@@ -58,7 +58,10 @@ def test_tables(spark, tmp_path):
     for c in ("treeId", "species", "address", "activitiesDone", "durationMinutes", "scrapedAt"):
         acts = acts.withColumn(c, F.lit(""))
     store.rewrite_sorted("activities", acts, "id", ["seq"])
-    assert sorted((r.date, r.id) for r in store.read("activities").collect()) == [("", "7"), ("2026-01-01", "9"), ("2026-01-02", "10")]
+    wanted = [("", "7"), ("2026-01-01", "9"), ("2026-01-02", "10")]
+    assert [(r.date, r.id) for r in store.read("activities").coalesce(1).collect()] == wanted  # files are read in the order of their names
+    store.rewrite_sorted("activities", store.read("activities"), "id", ["date"])  # from its own rows
+    assert [(r.date, r.id) for r in store.read("activities").coalesce(1).collect()] == wanted
 
 
 def test_json_forms(spark, tmp_path):
@@ -104,6 +107,9 @@ def test_paged_source(spark):
     read = spark.read.format("pages_for_tests").option("limit", 3).option("total", 12).load()
     assert read.rdd.getNumPartitions() == 4 and read.count() == 7
     assert paged.until_short(read, 3).count() == 7
+    for lanes in (1, 2, 8):  # without a total, all is read
+        read = spark.read.format("pages_for_tests").option("limit", 2).option("lanes", lanes).load()
+        assert read.rdd.getNumPartitions() == lanes and sorted(json.loads(r.record)["id"] for r in paged.until_short(read, 2).collect()) == list(range(7))
     gap = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (2, 0, "c"), (4, 0, "d"), (4, 1, "e")], "offset int, position int, record string")
     assert paged.until_short(gap, 2).count() == 3
 
@@ -139,3 +145,29 @@ def test_sync_and_envelope(spark, tmp_path):
     told = tables.envelope(store.read("trees"), "paginated").first()
     assert (told["count"], told.strategy, len(told.activities)) == (1, "paginated", 1)
     assert problems(spark) == []
+
+
+def test_versions(spark, tmp_path):
+    kind = "k string, n int"
+    store = tables.Versions(spark, str(tmp_path / "v"), kind)
+    row = lambda k, n: spark.createDataFrame([(k, n)], kind)
+    assert store.read().count() == 0 and store.update(lambda there: there.union(row("a", 1))) == 1
+    tries = []
+
+    def merge(there):
+        if not tries:  # another writer is quicker
+            assert store.put(there.union(row("b", 2)), 1)
+        tries.append(there.count())
+        return there.union(row("c", 3))
+
+    assert store.update(merge) == 3 and tries == [1, 2]
+    assert sorted(r.k for r in store.read().collect()) == ["a", "b", "c"] and store.read(1).count() == 1
+    assert not store.put(row("z", 9), 1) and len(list((tmp_path / "v").glob("data-*"))) == 3
+
+
+def test_filtered_scan_is_pushed_down(spark, tmp_path):
+    path = lines(tmp_path / "f.json", {"a": 1, "b": "x"}, {"a": 5, "b": "y"}, {"b": "z"})
+    read = paged.read_filtered(spark, path, "a long, b string", lambda f: f["a"] > 2, wait=0)
+    assert [r.b for r in read.collect()] == ["y"] and "GreaterThan(a,2)" in read._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        paged.read_filtered(spark, str(tmp_path / "none"), "a long", wait=0)
