@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,13 @@ def workspace(spark: SparkSession) -> Iterator[None]:
     finally:
         _folder.reset(before)
         delete(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames that are not used any more; it does so when the driver's JVM drops them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut
+from fieldweave.llm.common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a")
         spread_once = cut(near.agg(F.min("label").alias("label"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was")))
         if spread_once.where("label <> was").isEmpty():
+            del both, labels, near, down, least
+            release(edges.sparkSession)
             return spread_once.select(F.col("a").alias("node"), F.col("label").alias("component"))
         labels, rounds = spread_once.select("a", "label"), rounds + 1
         if rounds > 1:  # wide components: also take the label of one's label
