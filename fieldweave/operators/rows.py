@@ -97,13 +97,16 @@ def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
 READ_ERRORS = (OSError, PySparkException, Py4JJavaError)
 
 
-def retried(source: Callable[[], DataFrame], tries: int = 3, wait: float = 5.0) -> DataFrame:
-    """The source's frame; if it can't be read it is asked again, after ``wait`` seconds, then twice as many, and so on."""
+def retried(source: Callable[[], DataFrame], tries: int = 3, wait: float = 5.0, worth: Callable[[Exception], bool] = lambda _: True) -> DataFrame:
+    """The source's frame; if it can't be read it is asked again, after ``wait`` seconds, then twice as many, and so on.
+
+    A failure that is not ``worth`` another try is raised at once.
+    """
     for number in range(1, tries + 1):
         try:
             return source()
-        except READ_ERRORS:
-            if number == tries:
+        except READ_ERRORS as failed:
+            if number == tries or not worth(failed):
                 raise
             time.sleep(wait * number)
     raise ValueError("tries must be 1 or more")

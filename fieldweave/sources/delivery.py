@@ -1,8 +1,10 @@
-"""Deliveries of rows to a service: one call a row, failures kept apart."""
+"""Deliveries of rows to a service: one call a row, some at a time, failures kept apart."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,22 +16,31 @@ def accepted(code):
     return (code >= 200) & (code < 300)
 
 
-def deliver(rows: DataFrame, key: str, send: Callable[[dict], int]) -> DataFrame:
+def each(call: Callable[[Any], Any], items: Iterable, at_once: int) -> list[tuple[Any, str | None]]:
+    """For each item, in order, what call gives and None, or None and the message of its failure; up to at_once calls run together."""
+
+    def one(item: Any) -> tuple[Any, str | None]:
+        try:
+            return call(item), None
+        except Exception as failed:  # noqa: BLE001  one item must not stop the others
+            return None, str(failed)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, items))
+
+
+def deliver(rows: DataFrame, key: str, send: Callable[[dict], int], at_once: int = 8) -> DataFrame:
     """key, code and error for each row. send gets the row and gives the status code of the answer; it is
     all that knows the network. A row whose call fails has a message and no code; others are not touched.
 
-    Tasks may be tried again, so send must be safe to repeat for a key, and the result should be written
-    before it is looked at.
+    A task makes up to at_once calls together, so send must be safe to call from several threads. Tasks may be
+    tried again, so it must also be safe to repeat for a key, and the result should be written before it is looked at.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                try:
-                    out.append((row[key], send(row), None))
-                except Exception as failed:  # noqa: BLE001  one row must not stop the others
-                    out.append((row[key], None, str(failed)))
+            told = each(send, batch.to_dict("records"), at_once)
+            out = [(k, code, error) for k, (code, error) in zip(batch[key], told)]
             yield pd.DataFrame(out, columns=[key, "code", "error"]).astype({"code": "Int32"})
 
     return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, code int, error string")

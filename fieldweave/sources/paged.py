@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fieldweave.operators.rows import retried, scan
+from fieldweave.sources.delivery import each
 
 Fetch = Callable[[int, int], list[str]]
 
@@ -73,18 +74,16 @@ def until_short(pages: DataFrame, limit: int) -> DataFrame:
     return pages.where(stop.isNull() | (F.col("offset") <= stop))
 
 
-def lookup_each(keys: DataFrame, key: str, fetch_one: Callable[[str], dict | None], schema: str) -> DataFrame:
-    """A row for each key from a lookup; a key whose lookup fails gives nulls and a message, others are not touched."""
+def lookup_each(keys: DataFrame, key: str, fetch_one: Callable[[str], dict | None], schema: str, at_once: int = 8) -> DataFrame:
+    """A row for each key from a lookup; a key whose lookup fails gives nulls and a message, others are not touched.
+
+    A task makes up to at_once lookups together, so fetch_one must be safe to call from several threads.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k in batch[key]:
-                try:
-                    rows.append({key: k, **(fetch_one(k) or {}), "error": None})
-                except Exception as failed:  # noqa: BLE001  one bad key must not spoil the others
-                    rows.append({key: k, "error": str(failed)})
-            yield pd.DataFrame(rows, columns=names)
+            told = each(lambda k: {**(fetch_one(k) or {})}, batch[key], at_once)
+            yield pd.DataFrame([{key: k, **(found or {}), "error": error} for k, (found, error) in zip(batch[key], told)], columns=names)
 
     names = [key, *[p.split()[0] for p in schema.split(",")], "error"]
     return keys.select(key).distinct().mapInPandas(run, f"{key} {dict(keys.dtypes)[key]}, {schema}, error string")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.operators import joins
+from fieldweave.operators import joins, rows
 from fieldweave.session import problems
 from fieldweave.sources import activities, delivery, geojson, inventory, paged, tables
 
@@ -135,6 +135,29 @@ def test_deliveries(spark):
     answers = delivery.deliver(spark.range(1, 5).selectExpr("cast(id as string) AS id", "id AS n"), "id", send)
     assert sorted((r.id, r.code, r.error) for r in answers.collect()) == [("1", 201, None), ("2", 201, None), ("3", None, "no network"), ("4", 404, None)]
     assert tuple(delivery.delivered(answers).first()) == (2, 1, 1)
+    assert delivery.each(lambda n: 6 // n, [3, 0, 2], 4) == [(2, None), (None, "integer division or modulo by zero"), (3, None)]
+
+
+def test_endpoints_in_order(spark):
+    class Answer(OSError):
+        def __init__(self, code):
+            super().__init__(f"answer {code}")
+            self.code = code
+
+    asked = []
+
+    def endpoint(name, *codes):
+        def ask():
+            asked.append(name)
+            code = codes[min(asked.count(name), len(codes)) - 1]
+            if code != 200:
+                raise Answer(code)
+            return spark.range(1)
+
+        return lambda: rows.retried(ask, wait=0, worth=lambda failed: getattr(failed, "code", 500) >= 500)
+
+    assert rows.first_nonempty([endpoint("a", 404), endpoint("b", 503, 503, 503), endpoint("c", 500, 200), endpoint("d", 200)]).count() == 1
+    assert asked == ["a", "b", "b", "b", "c", "c"]
 
 
 def test_sync_and_envelope(spark, tmp_path):
