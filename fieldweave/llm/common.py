@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -36,12 +36,16 @@ _folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 @contextmanager
-def workspace(spark: SparkSession) -> Iterator[None]:
-    """What is written within goes to a folder of its own, which is deleted at the end; no frame that reads it may be used later."""
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written within goes to a folder of its own, which is deleted at the end; no frame that reads it may be used later.
+
+    Gives a function that writes a frame outside of that folder: the result.
+    """
+    outer = _folder.get() or shared_folder(spark)
     path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
     before = _folder.set(path)
     try:
-        yield
+        yield lambda frame: written(frame, outer)
     finally:
         _folder.reset(before)
         delete(spark, path)
@@ -66,10 +70,11 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """As cut, for larger frames: columns in a compressed file, of which later steps read what they need."""
-    path = f"{_folder.get() or shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+def written(frame: DataFrame, folder: str | None = None, by: str | None = None) -> DataFrame:
+    """As cut, for larger frames: columns in a compressed file, of which later steps read what they need; by: the column that divides its files."""
+    path = f"{folder or _folder.get() or shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    out = frame.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from fieldweave.llm.common import reduced
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     frame, wanted = queries.QUERIES[name](spark, small), con.sql(queries.ORACLE_SQL[name])
     told = lambda names, rows: sorted(repr(sorted(zip(names, r), key=lambda p: p[0])) for r in rows)
@@ -21,7 +21,7 @@ def test_query_gives_the_rows_of_its_sql(spark, small, name):
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, len(queries.QUERIES) + 1))
 
 
 def test_reduced_keeps_all_that_match(spark):
