@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, lexical_search, packing, preference_format, quality_rules, sharding, substring_dedup, trie_bpe
+from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, lexical_search, line_dedup, packing, preference_format, quality_rules, sharding, substring_dedup, trie_bpe
 
 QUERIES = {
     "op1_best_fit": packing.op1_best_fit,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_kmeans_tree": kmeans_tree.op9_kmeans_tree,
     "op10_trie_bpe": trie_bpe.op10_trie_bpe,
     "op11_term_pipeline": lexical_search.op11_term_pipeline,
+    "op12_reversible_lines": line_dedup.op12_reversible_lines,
 }
 
 ORACLE_SQL = {
     "op3_preference": preference_format.SQL,
     "op7_host_rules": quality_rules.SQL,
     "op11_term_pipeline": lexical_search.SQL,
+    "op12_reversible_lines": line_dedup.SQL,
 }
