@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import html_extraction, jaccard_join, kmeans_tree, language_id, lexical_search, line_dedup, packing, preference_format, quality_rules, sharding, substring_dedup, trie_bpe
+from fieldweave.llm import conversation_trie, html_extraction, jaccard_join, kmeans_tree, language_id, lexical_search, line_dedup, packing, preference_format, quality_rules, sharding, substring_dedup, trie_bpe
 
 QUERIES = {
     "op1_best_fit": packing.op1_best_fit,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_trie_bpe": trie_bpe.op10_trie_bpe,
     "op11_term_pipeline": lexical_search.op11_term_pipeline,
     "op12_reversible_lines": line_dedup.op12_reversible_lines,
+    "op13_prefix_trie": conversation_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_host_rules": quality_rules.SQL,
     "op11_term_pipeline": lexical_search.SQL,
     "op12_reversible_lines": line_dedup.SQL,
+    "op13_prefix_trie": conversation_trie.SQL,
 }
