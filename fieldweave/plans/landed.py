@@ -92,16 +92,52 @@ def rewrite_sorted(spark, sf_dir):
     return store.read("activities")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderstatus END AS status FROM orders")
 def versioned_update(spark, sf_dir):
-    """Two versions: finished orders, and then open ones with the finished ones renamed."""
+    """Two versions: finished orders, and then all others with the finished ones renamed."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     store = tables.Versions(spark, _folder(spark), "o_orderkey long, status string")
     store.update(lambda there: there.union(o.where("status = 'F'")))
-    store.update(lambda there: there.withColumn("status", F.lit("closed")).union(o.where("status = 'O'")))
+    store.update(lambda there: there.withColumn("status", F.lit("closed")).union(o.where("status <> 'F'")))
     return store.read()
 
 
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'late' ELSE o_orderstatus END AS status, o_totalprice + CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS price, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 4 END AS version FROM orders WHERE o_custkey % 7 > 0 OR o_orderstatus <> 'P'")
+def two_writers(spark, sf_dir):
+    """Three writers start from the version with all orders: two change different ones and both succeed; the last one changes orders of the second one, conflicts, and changes what that one left."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_custkey", F.lit(1).alias("version"))
+    store = tables.Versions(spark, _folder(spark), "o_orderkey long, status string, price double, o_custkey long, version int", ["o_orderkey"])
+    store.put(o, 0)
+    begun = store.read(1)
+    store.change(begun.where("status = 'F'").withColumns({"status": F.lit("closed"), "version": F.lit(2)}), 1)
+    store.change(begun.where("status = 'O'").withColumns({"status": F.lit("late"), "version": F.lit(3)}), 1, gone=begun.where("status = 'P' AND o_custkey % 7 = 0"))
+    raised = lambda rows: rows.where("status IN ('O', 'late')").withColumns({"price": F.col("price") + 1, "version": F.lit(4)})
+    try:
+        store.change(raised(begun), 1)
+    except tables.Conflict:
+        store.update_keys(raised)
+    return store.read().drop("o_custkey")
+
+
+@query(_ACTIVITY_SQL.format("CASE WHEN o_orderkey % 50 = 0 THEN '2024-04-01' WHEN o_custkey % 3 = 0 THEN '2024-03-01' ELSE '2024-02-01' END").replace("strftime(o_orderdate, '%Y-%m-%d') AS date", "CASE WHEN o_orderkey % 50 = 0 THEN '2024-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date"))
+def sorted_ranges(spark, sf_dir):
+    """A sorted table takes orders of a third of the customers again, and then some with a date after all others, which take them out of their files."""
+    store = tables.Tables(spark, _folder(spark))
+    file_rows = max(1, table(spark, sf_dir, "orders").count() // 16)
+    store.rewrite_sorted("activities", _order_activities(spark, sf_dir), "id", ["scrapedAt"], file_rows=file_rows)
+    store.merge_sorted("activities", _order_activities(spark, sf_dir, "2024-03-01").where("treeId % 3 = 0"), "id", ["scrapedAt"], file_rows=file_rows)
+    store.merge_sorted("activities", _order_activities(spark, sf_dir, "2024-04-01").where("id % 50 = 0").withColumn("date", F.lit("2024-01-01")), "id", ["scrapedAt"], file_rows=file_rows)
+    return store.read("activities")
+
+
+@query("SELECT p_partkey, p_name || chr(10) || 'ü' AS content, sha1('blob ' || strlen(p_name || chr(10) || 'ü') || chr(0) || p_name || chr(10) || 'ü') AS version FROM part")
+def file_versions(spark, sf_dir):
+    """Files as an API gives them, in base64 with line breaks, and the version that a writer has to name."""
+    coded = F.regexp_replace(F.base64(F.encode(F.concat("p_name", F.lit("\nü")), "UTF-8")), "(.{8})", "$1\n")
+    read = table(spark, sf_dir, "part").select("p_partkey", tables.decoded_file(coded).alias("content"))
+    return read.withColumn("version", tables.version_id(F.col("content")))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '{"error":"' || c_name || ' owes"}' WHEN c_custkey % 2 = 0 THEN '{"data":{"name":"' || c_name || '","nation":' || c_nationkey || '}}' ELSE '{"success":true}' END AS answer FROM customer""")
 def answer_envelopes(spark, sf_dir):
     data = values.data_answer(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
