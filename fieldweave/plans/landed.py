@@ -16,7 +16,7 @@ from fieldweave.operators import rows
 from fieldweave.plans import workflow
 from fieldweave.plans.catalog import _EVENT_SQL, _event_shape, _points, query, table
 from fieldweave.session import shared_folder
-from fieldweave.sources import activities, inventory, paged, tables
+from fieldweave.sources import activities, inventory, paged, split_csv, tables
 from fieldweave.sources.schemas import TABLES
 
 
@@ -73,6 +73,15 @@ def csv_inventory(spark, sf_dir):
     return inventory.normalise(inventory.read_csv(spark, path)).select("tree_id", "spc_latin", "spc_common", "tree_dbh")
 
 
+@query("SELECT o_orderkey::VARCHAR AS id, o_orderpriority || chr(10) || 'say \"' || o_orderstatus || '\",' || chr(10) || chr(10) || o_custkey AS note, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def csv_line_breaks(spark, sf_dir):
+    """Notes with line breaks and quotes, in files that are read by ranges."""
+    path = _folder(spark)
+    note = F.concat("o_orderpriority", F.lit('\nsay "'), "o_orderstatus", F.lit('",\n\n'), F.col("o_custkey").cast("string"))
+    table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), note.alias("note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).write.options(**tables.CSV).csv(path)
+    return split_csv.read_split_csv(spark, path)
+
+
 @query(_ACTIVITY_SQL.format("CASE WHEN o_orderkey % 2 = 0 THEN '2024-02-01' ELSE '2024-03-01' END"))
 def append_new_rows(spark, sf_dir):
     """Half of the orders are in the table; all come again on a later day."""

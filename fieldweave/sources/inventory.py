@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions.geo import wkt_point
 from fieldweave.functions.values import first_given, mapped, split_at_first
 from fieldweave.operators.rows import normalised_names, renamed
+from fieldweave.sources.split_csv import read_split_csv
 
 #: Source column to target column, where they differ.
 COLUMNS = {
@@ -26,8 +27,8 @@ REQUIRED = ("latitude", "longitude", "spc_common")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header and all columns as text; names normalised."""
-    return normalised_names(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    """Header and all columns as text; names normalised. Line breaks in quotes are no record ends, and large files are still read by many tasks."""
+    return normalised_names(read_split_csv(spark, path))
 
 
 def normalise(rows: DataFrame) -> DataFrame:
