@@ -50,12 +50,23 @@ def landed_answers(spark, sf_dir):
 
 @query(_ACTIVITY_SQL.format("'2024-02-01'"))
 def pages_or_one_shot(spark, sf_dir):
-    """Pages are asked for first; as none have landed, all is taken from the answers."""
+    """Pages are asked for first; as none have landed, all is taken from the answers. (See pages_before_one_shot for the other case.)"""
     whole = _answers(spark, sf_dir)
     found = rows.first_nonempty([lambda: paged.pages_of(spark, f"{whole}-pages"), lambda: activities.gate(activities.read_answers(spark, whole))])
     return activities.flatten(found, "2024-02-01")
 
 
+@query(_ACTIVITY_SQL.format("'2024-02-01'"))
+def pages_before_one_shot(spark, sf_dir):
+    """Pages have landed, so the answers are not looked at (those here could not be read)."""
+    pages = _folder(spark)
+    record = F.struct(F.col("o_orderkey").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("date"), F.col("o_custkey").alias("treeId"), F.struct(F.struct(F.col("o_orderstatus").alias("commonName")).alias("species")).alias("tree"))
+    table(spark, sf_dir, "orders").select(F.to_json(record).alias("value")).write.text(pages)
+    landed = lambda: activities.records_of(paged.pages_of(spark, pages))
+    found = rows.first_nonempty([landed, lambda: activities.gate(activities.read_answers(spark, f"{pages}-answers"))])
+    return activities.flatten(found, "2024-02-01")
+
+
 @query("SELECT p_partkey::VARCHAR AS tree_id, p_size AS tree_dbh, p_name AS spc_common, CASE lower(p_type) WHEN 'economy' THEN 'Good' ELSE p_type END AS health FROM part WHERE p_size > 10 AND p_type <> 'PROMO'")
 def filtered_inventory(spark, sf_dir):
     path = _folder(spark)

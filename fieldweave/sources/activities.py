@@ -23,6 +23,12 @@ def gate(answers: DataFrame) -> DataFrame:
     return answers.select(F.explode_outer(data["activityReports"]).alias("record")).where("record is not null").select("record.*")
 
 
+def records_of(pages: DataFrame) -> DataFrame:
+    """Records of pages of JSON objects, as gate gives them."""
+    kind = ENVELOPE.split("activityReports: array<", 1)[1].rsplit(">>, errors", 1)[0]
+    return pages.select(F.from_json("record", kind).alias("r")).where("r is not null").select("r.*")
+
+
 def skipped(answers: DataFrame) -> DataFrame:
     """How many errors came along with data."""
     return answers.where("data is not null").agg(F.coalesce(F.sum(F.greatest(F.size("errors"), F.lit(0))), F.lit(0)).alias("n_errors"))

@@ -114,6 +114,74 @@ def test_paged_source(spark):
     assert paged.until_short(gap, 2).count() == 3
 
 
+def test_pages_have_a_cap_and_may_be_partial(spark):
+    def endless(offset, limit):  # ignores the offset
+        return ["{}"] * limit
+
+    spark.dataSource.register(paged.paged_source("endless_for_tests", endless))
+    for lanes in (1, 3):
+        with pytest.raises(Exception, match="more than 20 pages of 5"):
+            spark.read.format("endless_for_tests").option("limit", 5).option("lanes", lanes).option("max_pages", 20).load().count()
+
+    def third_is_broken(offset, limit):
+        if offset == 6:
+            raise OSError("no third page")
+        return [str(i) for i in range(offset, min(offset + limit, 20))]
+
+    spark.dataSource.register(paged.paged_source("broken_for_tests", third_is_broken))
+    for lanes in (1, 2, 8):
+        read = spark.read.format("broken_for_tests").option("limit", 3).option("lanes", lanes)
+        with pytest.raises(Exception, match="no third page"):
+            read.load().count()
+        partial = read.option("allow_partial", True).load()
+        assert sorted(int(r.record) for r in paged.until_short(partial, 3).collect()) == list(range(6))
+        assert [r.offset for r in paged.broken_pages(partial).collect()] == [6]
+
+
+def test_exactly_as_many_pages_as_the_cap(spark):
+    spark.dataSource.register(paged.paged_source("ten_for_tests", lambda offset, limit: [str(i) for i in range(offset, min(offset + limit, 10))]))
+    read = spark.read.format("ten_for_tests").option("limit", 5).option("pause", 0.01)
+    assert read.option("max_pages", 2).option("lanes", 1).load().count() == 10
+    with pytest.raises(Exception, match="more than 1 pages"):
+        read.option("max_pages", 1).option("lanes", 1).load().count()
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    there, lost = tmp_path / "there", tmp_path / "lost"
+    there.write_text("7")
+
+    def fetch(offset, limit):
+        if lost.exists() and offset == int(lost.read_text()) and limit > 1:
+            raise OSError("lost page")
+        return [str(i) for i in range(offset, min(offset + limit, int(there.read_text())))]
+
+    spark.dataSource.register(paged.paged_source("stream_for_tests", fetch))
+
+    def run(**options):
+        stream = spark.readStream.format("stream_for_tests").options(**{"limit": 3, **options}).load()
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    def got():
+        return sorted(int(r.record) for r in spark.read.parquet(str(tmp_path / "out")).where("position >= 0").collect())
+
+    run()
+    assert got() == list(range(7))
+    run()  # nothing new
+    there.write_text("20")
+    run()
+    assert got() == list(range(20))  # the page that was short is gone on with
+    there.write_text("29")
+    lost.write_text("23")
+    with pytest.raises(Exception, match="lost page"):
+        run()
+    assert got() == list(range(20))
+    run(allow_partial=True)
+    assert got() == [*range(23), 26, 27, 28]
+    there.write_text("100")
+    with pytest.raises(Exception, match="more than 20 pages"):
+        run(max_pages=20)
+
+
 def test_lookup_each_isolates_failures(spark):
     def fetch(key):
         if key == "bad":
