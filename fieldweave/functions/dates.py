@@ -45,17 +45,14 @@ def due_label(due: Column, today: dt.date) -> Column:
 
 def clock(column: Column) -> Column:
     """HH:mm:00 of the first one or two digits in a text, with minutes and am or pm (lower or upper case) if they follow at once; else null."""
-    pattern = r"([0-9]{1,2})(?::([0-9]{2}))?[ \t]*(am|pm|AM|PM)?"
+    # What was found is one text that all that follows is cut from: two digits or one, two behind a colon, two letters.
+    found = F.regexp_extract(column, r"[0-9]{1,2}(?::[0-9]{2})?(?:[ \t]*(?:am|pm|AM|PM))?", 0)
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
-
-    def told(found: Column) -> Column:
-        """Of the matched text, so that the whole text is searched once."""
-        part = lambda i: F.regexp_extract(found, pattern, i)
-        hour, half = part(1).try_cast("int"), F.lower(F.substring(found, -2, 2))
-        hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
-        return F.when(hour.isNotNull(), F.concat(two(hour), F.lit(":"), two(F.coalesce(part(2).try_cast("int"), F.lit(0))), F.lit(":00")))
-
-    return F.get(F.transform(F.array(F.regexp_extract(column, pattern, 0)), told), F.lit(0))
+    hour = F.coalesce(F.substring(found, 1, 2).try_cast("int"), F.substring(found, 1, 1).try_cast("int"))
+    minute = F.when(F.instr(found, ":") > 0, F.substring(found, F.instr(found, ":") + 1, F.lit(2)).try_cast("int")).otherwise(F.lit(0))
+    half = F.lower(F.substring(found, -2, 2))
+    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
+    return F.when(found != "", F.concat(two(hour), F.lit(":"), two(minute), F.lit(":00")))
 
 
 def moment(date: Column, time: Column, zone: str, default: str = "12:00:00") -> Column:

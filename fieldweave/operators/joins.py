@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.functions.values import first_given, text_of, without_commas
+from fieldweave.functions.values import first_given, json_list, text_of, without_commas
 from fieldweave.operators.rows import given, kept_once
 
 
@@ -59,47 +59,64 @@ def dereferenced(objects: DataFrame, reference: str, target: DataFrame, target_k
     return objects.join(named, F.col(reference) == F.col(prefix + target_key), "left")
 
 
+def variant_text(value: Column | str, path: str = "$") -> Column:
+    """What stands at a path of a VARIANT, as text; null where there is nothing or a JSON null."""
+    return F.try_variant_get(F.col(value) if isinstance(value, str) else value, path, "string")
+
+
+def followed(objects: DataFrame, pointer: Column, cache: DataFrame, to: str) -> DataFrame:
+    """objects with ``to``: the object of the cache that a pointer's __ref names, or, where it has none or names none, the pointer itself."""
+    named = cache.select(F.col("key").alias("__key"), F.col("obj").alias("__named"))
+    asked = objects.withColumn("__pointer", pointer)
+    found = asked.join(named, variant_text("__pointer", "$.__ref") == F.col("__key"), "left")
+    return found.withColumn(to, F.when(F.col("__key").isNotNull(), F.col("__named")).otherwise(F.col("__pointer"))).drop("__key", "__named", "__pointer")
+
+
 def cached_locations(cache: DataFrame) -> DataFrame:
-    """treeId, lat, lng, address and species from rows of an object cache (see sources.activities.CACHE_SCHEMA).
+    """treeId, lat, lng, address and species from the objects of a cache (key and obj, a VARIANT).
 
-    Objects of a tree type come first; a tree that an activity points to is used where no such object
-    has its coordinates. Of several objects with one id the one with the smallest key counts.
+    Objects of a tree type come first; the tree of an activity, which it holds or points to, is used where no such
+    object has its coordinates. Of several objects with one id the one with the smallest key counts. Fields that are not known don't matter.
     """
-    species = cache.select(F.col("key").alias("species_key"), F.col("obj.commonName").alias("common"))
-
-    def told(rows: DataFrame, o: str, rank: int) -> DataFrame:
-        name = first_given(F.col("common"), F.col(f"{o}.species.commonName"))
-        return rows.select(
-            F.col(f"{o}.id").cast("string").alias("treeId"),
-            first_given(f"{o}.latitude", f"{o}.lat", f"{o}.location.lat").alias("lat"),
-            first_given(f"{o}.longitude", f"{o}.lng", f"{o}.lon", f"{o}.location.lng").alias("lng"),
-            text_of(without_commas(first_given(f"{o}.closestAddress", f"{o}.address"))).alias("address"),
-            text_of(without_commas(name)).alias("species"),
+
+    def told(rows: DataFrame, rank: int) -> DataFrame:
+        known = followed(rows, F.variant_get("tree", "$.species", "variant"), cache, "kind")
+        at = lambda *paths: first_given(*[variant_text("tree", f"$.{p}") for p in paths])
+        return known.select(
+            variant_text("tree", "$.id").alias("treeId"),
+            at("latitude", "lat", "location.lat").alias("lat"),
+            at("longitude", "lng", "lon", "location.lng").alias("lng"),
+            text_of(without_commas(at("closestAddress", "address"))).alias("address"),
+            text_of(without_commas(variant_text("kind", "$.commonName"))).alias("species"),
             F.lit(rank).alias("rank"),
             "key",
         ).where(located())
 
-    kind = F.lower(text_of("obj.__typename"))
-    present = cache.where(first_given("obj.id").isNotNull())
-    trees = present.where(kind.isin("tree", "streettree", "nyctree")).join(species, F.col("obj.species.__ref") == F.col("species_key"), "left")
-    pointed = present.where(is_activity(kind)).select("key", F.col("obj.tree").alias("link"))
-    objects = cache.select(F.col("key").alias("tree_key"), F.col("obj").alias("tree"))
-    pointed = pointed.join(objects, F.col("link.__ref") == F.col("tree_key"), "inner")
-    pointed = pointed.join(species, F.col("tree.species.__ref") == F.col("species_key"), "left")
-    both = told(trees, "obj", 0).unionByName(told(pointed, "tree", 1))
-    return kept_once(both, ["treeId"], ["rank", "key"]).drop("rank", "key")
+    present = cache.where(first_given(variant_text("obj", "$.id")).isNotNull())
+    trees = present.where(_kind().isin("tree", "streettree", "nyctree")).select("key", F.col("obj").alias("tree"))
+    pointed = followed(present.where(is_activity()), F.variant_get("obj", "$.tree", "variant"), cache, "tree").select("key", "tree")
+    return kept_once(told(trees, 0).unionByName(told(pointed, 1)), ["treeId"], ["rank", "key"]).drop("rank", "key")
 
 
 def cached_activities(cache: DataFrame) -> DataFrame:
-    """The cache's objects that are activities, in order of their keys."""
-    kind = F.lower(text_of("obj.__typename"))
-    return cache.where(first_given("obj.id").isNotNull() & is_activity(kind)).orderBy("key").select("key", "obj.*")
+    """The cache's objects that are activities, in order of their keys: key, what records of answers have (see activities.flatten), and the object itself."""
+    listed = F.coalesce(F.try_variant_get("obj", "$.stewardshipActivities", "array<string>"), json_list(variant_text("obj", "$.stewardshipActivities")))
+    found = followed(cache.where(first_given(variant_text("obj", "$.id")).isNotNull() & is_activity()), F.variant_get("obj", "$.tree", "variant"), cache, "tree")
+    found = followed(found, F.variant_get("tree", "$.species", "variant"), cache, "kind")
+    species = F.struct(variant_text("kind", "$.commonName").alias("commonName"))
+    tree = F.struct(variant_text("tree", "$.id").alias("id"), first_given(variant_text("tree", "$.closestAddress"), variant_text("tree", "$.address")).alias("closestAddress"), species.alias("species"))
+    return found.select("key", *[variant_text("obj", f"$.{c}").alias(c) for c in ("id", "date", "treeId", "duration")], listed.alias("stewardshipActivities"), tree.alias("tree"), "obj").orderBy("key")
+
+
+def _kind() -> Column:
+    return F.lower(text_of(variant_text("obj", "$.__typename")))
 
 
-def is_activity(kind: Column) -> Column:
+def is_activity() -> Column:
     """By the type's name, or because it has what activities have."""
-    named = kind.contains("activity") | kind.contains("stewardship") | kind.contains("report")
-    return named | (F.col("obj.stewardshipActivities").isNotNull() & F.col("obj.treeId").isNotNull())
+    there = lambda path: F.variant_get("obj", path, "variant").isNotNull()
+    kind = _kind()
+    return kind.contains("activity") | kind.contains("stewardship") | kind.contains("report") | (there("$.stewardshipActivities") & there("$.treeId"))
 
 
 def renamed_values(rows: DataFrame, column: str, values: Mapping[str, str], to: str) -> DataFrame:

@@ -450,6 +450,7 @@ def _brief_sql() -> str:
     return f"WITH {_EVENT_SQL} " + " UNION ALL ".join(parts)
 
 
+#: Labels of a brief.
 _BRIEF_LABELS = [
     ("", "Status"), ("EVENT OVERVIEW", "Event Name (Internal)"), ("EVENT OVERVIEW", "Event Lead"), ("EVENT OVERVIEW", "On-Site Support"), ("EVENT OVERVIEW", "Program Category"), ("EVENT OVERVIEW", "Format"),
     ("EVENT OVERVIEW", "Date"), ("EVENT OVERVIEW", "Time"), ("EVENT OVERVIEW", "Location/Venue"), ("EVENT OVERVIEW", "Partner/s"), ("EVENT OVERVIEW", "Client/s"), ("EVENT OVERVIEW", "Primary Audience"),

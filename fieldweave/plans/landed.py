@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions import geo, values
-from fieldweave.operators import rows
+from fieldweave.operators import joins, rows
 from fieldweave.plans import workflow
 from fieldweave.plans.catalog import _EVENT_SQL, _event_shape, _points, query, table
 from fieldweave.session import shared_folder
-from fieldweave.sources import activities, inventory, paged, split_csv, tables
+from fieldweave.sources import activities, delivery, inventory, paged, split_csv, tables
 from fieldweave.sources.schemas import TABLES
 
 
@@ -67,6 +67,30 @@ def pages_before_one_shot(spark, sf_dir):
     return activities.flatten(found, "2024-02-01")
 
 
+@query("""
+    WITH given AS (SELECT o_orderkey, o_custkey, c_name, c_acctbal, n_name, c_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+    SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE 'o' || o_orderkey END AS "treeId",
+        CASE WHEN o_orderkey % 2 = 0 THEN c_custkey ELSE o_orderkey END::VARCHAR AS lat, CASE WHEN o_orderkey % 2 = 0 THEN -c_custkey ELSE -o_orderkey END::VARCHAR AS lng,
+        CASE WHEN o_orderkey % 2 = 0 THEN replace(c_name, ',', ' ') ELSE '1  A St' END AS address, CASE WHEN o_orderkey % 2 = 0 THEN n_name ELSE 'own kind' END AS species
+    FROM given WHERE o_orderkey % 2 = 1 OR c_custkey <> 0 GROUP BY ALL
+""")
+def object_cache(spark, sf_dir):
+    """Orders as activities: those with an even key point to their customer, an object that points to its nation; the others hold a tree of their own, with other fields. A coordinate of 0 is none."""
+    path = _folder(spark)
+    ref = lambda kind, key: F.concat(F.lit('{"__ref":"' + kind), F.col(key).cast("string"), F.lit('"}'))
+    line = lambda key, *pairs: F.concat(F.lit('{"key":"'), key, F.lit('","obj":{'), *[x for i, (n, v) in enumerate(pairs) for x in (F.lit(("," if i else "") + f'"{n}":'), v)], F.lit("}}")).alias("value")
+    text = lambda column: F.concat(F.lit('"'), column.cast("string"), F.lit('"'))
+    number = lambda column: column.cast("string")
+    held = F.concat(F.lit('{"id":"o'), number(F.col("o_orderkey")), F.lit('","lat":'), number(F.col("o_orderkey")), F.lit(',"lon":-'), number(F.col("o_orderkey")), F.lit(',"address":"1, A St","species":{"commonName":"own kind"}}'))
+    tree = F.when(F.col("o_orderkey") % 2 == 0, ref("c", "o_custkey")).otherwise(held)
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    written = o.select(line(F.concat(F.lit("a"), number(F.col("o_orderkey"))), ("__typename", F.lit('"ActivityReport"')), ("id", number(F.col("o_orderkey"))), ("tree", tree), ("extra", F.lit("[1,null]"))))
+    at = F.concat(F.lit('{"lat":'), number(F.col("c_custkey")), F.lit(',"lng":"-'), number(F.col("c_custkey")), F.lit('"}'))
+    written = written.union(c.select(line(F.concat(F.lit("c"), number(F.col("c_custkey"))), ("__typename", F.lit('"Customer"')), ("id", text(F.concat(F.lit("c"), number(F.col("c_custkey"))))), ("location", at), ("closestAddress", text(F.col("c_name"))), ("species", ref("n", "c_nationkey")))))
+    written.union(n.select(line(F.concat(F.lit("n"), number(F.col("n_nationkey"))), ("commonName", text(F.col("n_name")))))).write.text(path)
+    return joins.cached_locations(activities.read_cache(spark, path))
+
+
 @query("SELECT p_partkey::VARCHAR AS tree_id, p_size AS tree_dbh, p_name AS spc_common, CASE lower(p_type) WHEN 'economy' THEN 'Good' ELSE p_type END AS health FROM part WHERE p_size > 10 AND p_type <> 'PROMO'")
 def filtered_inventory(spark, sf_dir):
     path = _folder(spark)
@@ -182,6 +206,25 @@ def ticket_payload(spark, sf_dir):
     return workflow.payload(workflow.ticket(_event_shape(spark, sf_dir)))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 404 WHEN c_custkey % 7 > 0 THEN 200 END AS code, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 = 0 THEN 'no answer' END AS error, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN 1 ELSE 2 END::BIGINT AS tries FROM customer")
+def deliveries_once(spark, sf_dir):
+    """Customers are delivered twice: what was accepted is not sent again, what was refused or failed is. The last answer to each and the number of tries."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    box = delivery.Outbox(spark, _folder(spark), "c_custkey", "long")
+    for _ in range(2):
+        box.deliver(customers, _answer)
+    return box.answers().select("c_custkey", "code", "error", "tries")
+
+
+def _answer(row: dict) -> int:
+    """A service that refuses every fifth customer and does not answer every seventh."""
+    if row["c_custkey"] % 5 == 0:
+        return 404
+    if row["c_custkey"] % 7 == 0:
+        raise OSError("no answer")
+    return 200
+
+
 @query("SELECT o_orderpriority, count(*) AS n_before, count(*) FILTER (o_orderstatus = 'F') AS n_after FROM orders GROUP BY o_orderpriority")
 def filter_counts(spark, sf_dir):
     return rows.filter_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F")

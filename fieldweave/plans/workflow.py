@@ -19,7 +19,6 @@ EVENT = (
     "mulch string, expenses string, ros string, access string"
 )
 TASK = "title string, evName string, phase string, assignee string, due string, evDate string"
-STORED_EVENT = "id string, type string, name string, date string, location string, coordinator string, size string, createdAt string, taskProgress map<string,boolean>"
 
 #: Tasks by event type and phase, and the phase's offset in days.
 PHASES = {"Immediate": None, "1 Month": -30, "2 Weeks": -14, "1 Week": -7, "Day Of": 0, "Day After": 1}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions.dates import day_of
 from fieldweave.functions.values import joined, text_of
-from fieldweave.sources.schemas import ENVELOPE, OBJECT
+from fieldweave.sources.schemas import ENVELOPE
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -50,18 +50,5 @@ def flatten(records: DataFrame, scraped_at: str | Column, zone: str = "UTC") ->
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """key and obj of an object cache landed as one JSON object a line."""
-    fields = f"key string, obj struct<{', '.join(p for p in _as_fields(OBJECT))}>"
-    return spark.read.schema(fields).json(path)
-
-
-def _as_fields(schema: str) -> list[str]:
-    """name type, ... as name: type, at the top level."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(schema + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, kind = schema[start:i].strip().split(" ", 1)
-            out.append(f"{name}: {kind}")
-            start = i + 1
-    return out
+    """key and obj of an object cache landed as one JSON object a line. Objects are VARIANT: they differ in their fields, and links may hold what they point to."""
+    return spark.read.schema("key string, obj variant").json(path)

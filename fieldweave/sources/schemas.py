@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-#: An activity as the API gives it; every level may be null, ids and dates may be numbers or texts.
-ACTIVITY = "id string, date string, treeId string, duration string, stewardshipActivities array<string>, tree struct<id: string, closestAddress: string, species: struct<commonName: string>>"
+#: An answer as the API gives it; every level may be null, ids and dates may be numbers or texts.
 ERRORS = "array<struct<message: string>>"
 ENVELOPE = f"data struct<activityReports: array<struct<{', '.join(p.replace(' ', ': ', 1) for p in ['id string', 'date string', 'treeId string', 'duration string', 'stewardshipActivities array<string>'])}, tree: struct<id: string, closestAddress: string, species: struct<commonName: string>>>>>, errors {ERRORS}"
 
-#: An object cache as lines of key and object; pointers to other objects are in __ref.
-OBJECT = (
-    "`__typename` string, id string, latitude string, lat string, longitude string, lng string, lon string, location struct<lat: string, lng: string>, "
-    "closestAddress string, address string, commonName string, treeId string, stewardshipActivities string, species struct<`__ref`: string, commonName: string>, tree struct<`__ref`: string, id: string>"
-)
-
 #: Columns of the flat tables, all text on disk.
 TABLES = {
     "activities": ["id", "date", "treeId", "species", "address", "activitiesDone", "durationMinutes", "scrapedAt"],

@@ -40,6 +40,29 @@ def test_object_cache(spark, tmp_path):
     assert [r.id for r in joins.cached_activities(activities.read_cache(spark, path)).collect()] == ["3"]
 
 
+def test_object_cache_with_ragged_objects(spark, tmp_path):
+    path = lines(
+        tmp_path / "c.json",
+        {"key": "A:1", "obj": {"__typename": "ActivityReport", "id": 1, "date": 1776655119560, "extra": {"deep": [1]}, "stewardshipActivities": ["Watered", "Weeded"], "tree": {"id": 21, "lat": 40.5, "lon": -73.5, "address": "embedded, here", "species": {"commonName": "Elm"}}}},
+        {"key": "A:2", "obj": {"id": "2", "treeId": 22, "stewardshipActivities": '["x", "y"]', "tree": {"__ref": "gone", "id": 22, "latitude": "1", "longitude": "2"}}},
+        {"key": "A:3", "obj": {"__typename": "StewardshipThing", "id": 3, "stewardshipActivities": "plain", "tree": None, "duration": 0}},
+        {"key": "A:4", "obj": {"__typename": "report", "id": 4, "tree": {"id": 5, "lat": 9, "lng": 9}}},
+        {"key": "A:5", "obj": {"__typename": "report", "id": "", "tree": {"id": 6, "lat": 9, "lng": 9}}},
+        {"key": "A:6", "obj": {"__typename": "report", "id": 6, "tree": "not an object"}},
+        {"key": "T:5", "obj": {"__typename": "NYCTree", "id": 5, "location": {"lat": 3, "lng": 4}, "species": {"__ref": "S:1"}, "other": [1, "two", None]}},
+        {"key": "T:7", "obj": {"__typename": "Tree", "id": 7, "lat": 1}},
+        {"key": "S:1", "obj": {"commonName": "Oak"}},
+        {"key": "N:1", "obj": None},
+        {"key": "N:2", "obj": [1, 2]},
+    )
+    cache = activities.read_cache(spark, path)
+    got = sorted(map(tuple, joins.cached_locations(cache).collect()))
+    assert got == [("21", "40.5", "-73.5", "embedded  here", "Elm"), ("22", "1", "2", "", ""), ("5", "3", "4", "", "Oak")]
+    flat = activities.flatten(joins.cached_activities(cache), "2026-05-01")
+    assert [(r.id, r.date, r.species, r.address, r.activitiesDone, r.durationMinutes) for r in flat.collect()] == [
+        ("1", "2026-04-20", "Elm", "embedded, here", "Watered; Weeded", ""), ("2", "", "", "", "x; y", ""), ("3", "", "", "", "plain", "0"), ("4", "", "", "", "", ""), ("6", "", "", "", "", "")]
+
+
 def test_tables(spark, tmp_path):
     store = tables.Tables(spark, str(tmp_path))
     assert store.read("TreeGuards").count() == 0 and store.read("Unknown").count() == 0
@@ -262,3 +285,51 @@ def test_filtered_scan_is_pushed_down(spark, tmp_path):
     assert [r.b for r in read.collect()] == ["y"] and "GreaterThan(a,2)" in read._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         paged.read_filtered(spark, str(tmp_path / "none"), "a long", wait=0)
+
+
+def test_an_outbox_sends_nothing_twice(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def send(row):
+        (calls / f"{row['id']}-{len(list(calls.iterdir()))}-{id(row)}").write_text("")
+        if row["id"] == "3":
+            raise OSError("no network")
+        return 404 if row["id"] == "4" else 200
+
+    def made():
+        return sorted(p.name.split("-")[0] for p in calls.iterdir())
+
+    box = delivery.Outbox(spark, str(tmp_path / "box"), "id")
+    rows_ = spark.createDataFrame([("1",), ("2",), ("3",), ("4",), ("4",), (None,)], "id string")
+    assert box.answers().count() == 0 and box.deliver(rows_, send) == {"n_accepted": 2, "n_refused": 1, "n_failed": 1}
+    assert box.answers().count() == box.answers().count() == 4 and made() == ["1", "2", "3", "4"]  # looking sends nothing
+    assert box.deliver(rows_, lambda row: send(row) and 201 if row["id"] == "4" else send(row)) == {"n_accepted": 1, "n_refused": 0, "n_failed": 1}
+    assert made() == ["1", "2", "3", "3", "4", "4"]
+    assert sorted(map(tuple, box.answers().collect())) == [("1", 200, None, 1), ("2", 200, None, 1), ("3", None, "no network", 2), ("4", 201, None, 2)]
+    assert box.totals().count() == 2
+    assert box.deliver(rows_.where("id < '3'"), send) == {"n_accepted": 0, "n_refused": 0, "n_failed": 0}
+
+
+def test_a_task_that_is_tried_again_sends_what_is_open(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    class Here:
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(delivery.TaskContext, "get", staticmethod(Here))
+    sent = []
+    writer = delivery.OutboxWriter(f"file://{tmp_path}/box", "1", "id", pa.int64(), lambda row: sent.append(row["id"]) or 200, 1, 4)
+
+    def dies():
+        yield from (Row(id=i) for i in range(10))
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        writer.write(dies())
+    assert sent == list(range(8))  # two groups; what came after them was not sent
+    told = writer.write(iter([Row(id=i) for i in range(12)]))
+    assert sent == list(range(12)) and told.n_accepted == 12
