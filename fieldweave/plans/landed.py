@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from fieldweave.functions import geo, values
 from fieldweave.operators import joins, rows
 from fieldweave.plans import workflow
-from fieldweave.plans.catalog import _EVENT_SQL, _event_shape, _points, query, table
+from fieldweave.plans.catalog import _EVENT_SQL, ORACLE_SQL, _event_shape, _points, query, table
 from fieldweave.session import shared_folder
 from fieldweave.sources import activities, delivery, inventory, paged, split_csv, tables
 from fieldweave.sources.schemas import TABLES
+from fieldweave.streaming.ingest import batch_metrics, ingest_available
 
 
 def _folder(spark) -> str:
@@ -206,6 +207,34 @@ def ticket_payload(spark, sf_dir):
     return workflow.payload(workflow.ticket(_event_shape(spark, sf_dir)))
 
 
+@query(ORACLE_SQL["tracker_row"].replace("SELECT name AS c01", "SELECT id, name AS c01"))
+def tracker_append(spark, sf_dir):
+    """Two runs bring the tracker events, some of them both times; each event's row is appended once."""
+    events = _event_shape(spark, sf_dir)
+    part = F.pmod(F.hash("id"), F.lit(3))
+    tracker = tables.Versions(spark, _folder(spark), workflow.TRACKER, ["id"])
+    for those in (events.where(part < 2), events.where(part > 0).union(events.where(part == 2))):
+        workflow.append_tracker_rows(tracker, those)
+    return tracker.read()
+
+
+@query(
+    """
+    WITH landed AS (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE event_id END AS id FROM events, range(2)), told AS (SELECT count(*) AS n_rows, count(DISTINCT id) AS n_added, count(*) FILTER (id IS NULL) AS n_failed FROM landed)
+    SELECT n_rows, n_added, n_rows - n_added - n_failed AS n_skipped, n_failed FROM told
+    """
+)
+def stream_metrics(spark, sf_dir):
+    """All events land twice, and each time are taken as a batch; clicks lose their key. What the batches counted, added up."""
+    work = _folder(spark)
+    events = table(spark, sf_dir, "events").select(F.when(F.coalesce(F.col("event_type") != "click", F.lit(True)), F.col("event_id")).alias("id"), "ts")
+    for name in ("one", "two"):
+        events.write.parquet(f"{work}/in/{name}")
+        source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{work}/in")
+        ingest_available(source, f"{work}/table", f"{work}/state", "id", ["ts"], metrics=f"{work}/metrics")
+    return batch_metrics(spark, f"{work}/metrics").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_added", "n_skipped", "n_failed")])
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 404 WHEN c_custkey % 7 > 0 THEN 200 END AS code, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 = 0 THEN 'no answer' END AS error, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN 1 ELSE 2 END::BIGINT AS tries FROM customer")
 def deliveries_once(spark, sf_dir):
     """Customers are delivered twice: what was accepted is not sent again, what was refused or failed is. The last answer to each and the number of tries."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions.dates import iso_utc, moment
 from fieldweave.functions.values import first_given, joined, leading_int, text_of
+from fieldweave.operators.rows import kept_once
+from fieldweave.sources.tables import Versions
 
 EVENT = (
     "id string, name string, extName string, owner string, support string, date string, time string, location string, type string, status string, "
@@ -40,6 +42,10 @@ def is_kind(column: str, *words: str) -> Column:
 
 def tracker_row(events: DataFrame) -> DataFrame:
     """The 21 cells of an event's tracker row, as c01 to c21."""
+    return events.select(*tracker_cells())
+
+
+def tracker_cells() -> list[Column]:
     public = is_kind("type", "Public")
     empty, no = F.lit(""), F.lit(False)
     cells = [
@@ -47,7 +53,17 @@ def tracker_row(events: DataFrame) -> DataFrame:
         text_of("collab"), text_of("collabNotes"), F.when(public, "").otherwise("N/A (not a public event)"), F.when(public, "").otherwise("N/A"),
         empty, F.when(public, "").otherwise("N/A"), no, no, empty, no, no, no, empty, empty,
     ]
-    return events.select(*[c.alias(f"c{i:02d}") for i, c in enumerate(cells, 1)])
+    return [c.alias(f"c{i:02d}") for i, c in enumerate(cells, 1)]
+
+
+TRACKER = "id string, " + ", ".join(f"c{i:02d} {'boolean' if i in (14, 15, 17, 18, 19) else 'string'}" for i in range(1, 22))
+
+
+def append_tracker_rows(store: Versions, events: DataFrame) -> int:
+    """Append the tracker rows of events that the tracker (a Versions of TRACKER by id) does not have yet, one for each id; its number then. Events without an id are left out."""
+    rows = kept_once(events.select("id", F.struct(*events.columns).alias("e")), ["id"], [F.to_json("e")]).select("e.*")
+    cells = rows.select("id", *tracker_cells())
+    return store.update_keys(lambda there: cells.join(there.select("id"), "id", "left_anti"))
 
 
 def brief_fields() -> list[tuple[str, str, Column]]:

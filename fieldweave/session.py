@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,19 @@ def place(spark: SparkSession, path: str) -> tuple:
 
 
 def problems(spark: SparkSession) -> list[str]:
-    """Settings that would change results."""
+    """What would change results or fail later: the zone, the shared folder, and whether what tasks write there can be read back."""
     zone = spark.conf.get("spark.sql.session.timeZone")
-    return [] if zone == "UTC" else [f"spark.sql.session.timeZone is {zone}; dates are derived in UTC"]
+    found = [] if zone == "UTC" else [f"spark.sql.session.timeZone is {zone}; dates are derived in UTC"]
+    try:
+        probe = f"{shared_folder(spark)}/probe-{uuid.uuid4().hex}"
+        try:
+            spark.range(4, numPartitions=4).write.parquet(probe)
+            rows = spark.read.parquet(probe).count()
+            if rows != 4:
+                found.append(f"of 4 rows that tasks wrote to {probe} {rows} could be read: machines do not share that folder")
+        finally:
+            store, path = place(spark, probe)
+            store.delete(path, True)
+    except Exception as failed:  # noqa: BLE001  whatever is wrong is what is asked for
+        found.append(f"spark.checkpoint.dir: {str(failed).splitlines()[0]}")
+    return found

@@ -172,8 +172,11 @@ class Tables:
         return log.clean(older_than, {"/".join(p.split(".table/")[1].split("/")[:2]) for p in parts if ".table/" in p})
 
     def sync(self, activities: DataFrame, trees: DataFrame, order: Sequence[Column | str] = ("date", "id")) -> tuple[int, int]:
-        """Append new activities, then new trees; how many of each. Without new activities that table isn't written."""
-        return self.append_new("activities", activities, "id", order), self.append_new("trees", trees, "treeId", ["treeId"])
+        """Append new activities, then new trees; how many of each. Without new activities that table isn't written; trees always are, as a version of their own."""
+        counts = self.append_new("activities", activities, "id", order), self.append_new("trees", trees, "treeId", ["treeId"])
+        if not counts[1]:
+            self._publish("trees", lambda number: self.parts("trees", number))
+        return counts
 
 
 def _spot(key: str, date: str) -> tuple[Column, Column]:

@@ -255,10 +255,25 @@ def test_sync_and_envelope(spark, tmp_path):
     store = tables.Tables(spark, str(tmp_path))
     acts = spark.createDataFrame([("1",)], "id string").selectExpr("id", *[f"'' AS {c}" for c in ("date", "treeId", "species", "address", "activitiesDone", "durationMinutes", "scrapedAt")])
     trees = spark.createDataFrame([("7", "1", "2", "", "")], "treeId string, latitude string, longitude string, address string, species string")
-    assert store.sync(acts, trees) == (1, 1) and store.sync(acts, trees) == (0, 0)
+    assert store.sync(acts, trees) == (1, 1) and store.version("trees").number == 1
+    assert store.sync(acts, trees) == (0, 0) and (store.version("activities").number, store.version("trees").number) == (1, 2)
+    assert store.read("trees").count() == 1
     told = tables.envelope(store.read("trees"), "paginated").first()
     assert (told["count"], told.strategy, len(told.activities)) == (1, "paginated", 1)
     assert problems(spark) == []
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert len(problems(spark)) == 1 and "Asia/Tokyo" in problems(spark)[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_shared_folder_that_cannot_be_written_is_a_problem(spark, monkeypatch):
+    from fieldweave import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: "/proc/none")
+    assert [p.split(":")[0] for p in problems(spark)] == ["spark.checkpoint.dir"]
 
 
 def test_versions(spark, tmp_path):

@@ -1,4 +1,4 @@
-from fieldweave.streaming.ingest import appended, ingest_available
+from fieldweave.streaming.ingest import appended, batch_metrics, ingest_available
 
 
 def test_ingest_takes_new_ids_once(spark, tmp_path):
@@ -13,3 +13,15 @@ def test_ingest_takes_new_ids_once(spark, tmp_path):
     got = appended(spark, target, spark.createDataFrame([], kind).schema)
     assert sorted((r.id, r.seq) for r in got.collect()) == [("a", 1), ("b", 1)]
     assert appended(spark, str(tmp_path / "none"), got.drop("batch").schema).count() == 0
+
+
+def test_batches_leave_their_counts(spark, tmp_path):
+    folder, target, state, metrics = (str(tmp_path / x) for x in ("in", "out", "state", "metrics"))
+    kind = "id string, seq int"
+    run = lambda: ingest_available(spark.readStream.schema(kind).json(folder), target, state, "id", ["seq"], metrics=metrics)
+    for rows in ([("a", 2), ("a", 1), (None, 1), ("", 1)], [("a", 0), ("b", 1), ("c", 1)], [(None, 1)], [("b", 2)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(folder)
+        run()
+    run()
+    got = [tuple(r) for r in batch_metrics(spark, metrics).select("n_rows", "n_added", "n_skipped", "n_failed", "batch").orderBy("batch").collect()]
+    assert got == [(4, 1, 1, 2, 0), (3, 2, 1, 0, 1), (1, 0, 0, 1, 2), (1, 0, 1, 0, 3)]
