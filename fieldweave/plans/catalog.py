@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import dates, geo, values
-from fieldweave.operators import groups, joins, rows
+from fieldweave.operators import groups, joins, rings, rows
 from fieldweave.plans import workflow
 from fieldweave.session import shared_folder
 from fieldweave.sources import activities, paged
@@ -228,6 +228,24 @@ def point_in_polygon(spark, sf_dir):
     return _points(spark, sf_dir).select("vec_id", geo.in_ring(F.col("lng"), F.col("lat"), geo.ring_literal(_RING)).alias("inside"))
 
 
+@query(
+    """
+    WITH centres AS (SELECT n_nationkey, (n_nationkey % 5) * 0.05::DOUBLE - 0.1::DOUBLE AS x, (n_nationkey // 5) * 0.05::DOUBLE - 0.1::DOUBLE AS y FROM nation),
+    corners AS (SELECT n_nationkey, [x - 0.07::DOUBLE, x, x + 0.07::DOUBLE, x, x - 0.07::DOUBLE] AS xs, [y, y + 0.06::DOUBLE, y, y - 0.03::DOUBLE, y] AS ys FROM centres),
+    edges AS (SELECT n_nationkey, xs[i] AS x1, ys[i] AS y1, xs[i + 1] AS x2, ys[i + 1] AS y2 FROM corners, range(1, 5) r(i)),
+    p AS (SELECT vec_id, embedding[1]::DOUBLE AS lat, embedding[2]::DOUBLE AS lng FROM embeddings)
+    SELECT vec_id, n_nationkey FROM p, edges GROUP BY ALL HAVING count(*) FILTER (((y1 > lat) <> (y2 > lat)) AND lng < x1 + (lat - y1) / (y2 - y1) * (x2 - x1)) % 2 = 1
+    """
+)
+def rings_of_points(spark, sf_dir):
+    """A ring for each nation; they overlap."""
+    n = table(spark, sf_dir, "nation")
+    x, y = (F.col("n_nationkey") % 5) * F.lit(0.05) - F.lit(0.1), F.floor(F.col("n_nationkey") / 5) * F.lit(0.05) - F.lit(0.1)
+    corners = [(x - 0.07, y), (x, y + 0.06), (x + 0.07, y), (x, y - 0.03), (x - 0.07, y)]
+    nations = n.select("n_nationkey", F.array(*[F.array(a, b) for a, b in corners]).alias("ring"))
+    return rings.points_in_rings(_points(spark, sf_dir).select("vec_id", "lng", "lat"), nations, 0.01, "n_nationkey").select("vec_id", "n_nationkey")
+
+
 @query("SELECT title, description, due FROM (SELECT 'Order ' || o_orderkey || ' — ' || o_orderstatus AS title, 'Event: ' || o_orderstatus || chr(10) || 'Phase: ' || o_orderpriority || chr(10) || 'Assignee: ' || chr(10) || 'Event date: ' AS description, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS due FROM orders) WHERE due IS NOT NULL")
 def task_titles(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
