@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, reduced, shuffle_partitions, table, written
+from fieldweave.llm.common import cut, reduced, shuffle_partitions, table, workspace, written
 from fieldweave.llm.words import rolling
 
 _MARKUP = re.compile(
@@ -242,8 +242,14 @@ def runs(pages: DataFrame, least_run: int, left_open: bool) -> DataFrame:
 def repeated_elsewhere(dealt: DataFrame, large: DataFrame, least_run: int) -> DataFrame | None:
     """host, part and code of the runs of pages with open blocks that two distinct pages of a host dealt into parts have. None where there are no such runs.
 
-    A run on very many pages is one row a task before the shuffle, and one row a part after it.
+    A run on very many pages is one row a task before the shuffle, and one row a part after it. Only the runs that are repeated are left in the shared folder.
     """
+    with workspace(dealt.sparkSession) as result:
+        found = _repeated_elsewhere(dealt, large, least_run)
+        return None if found is None else result(found)
+
+
+def _repeated_elsewhere(dealt: DataFrame, large: DataFrame, least_run: int) -> DataFrame | None:
     split = dealt.where("parts is not null").withColumn("site", F.xxhash64("host"))
     asked = written(runs(split, least_run, True))
     if asked.isEmpty():
@@ -256,7 +262,7 @@ def repeated_elsewhere(dealt: DataFrame, large: DataFrame, least_run: int) -> Da
     return wanted.select(*keys, "part").join(found.select(*keys), keys).join(large.select(F.xxhash64("host").alias("site"), "host"), "site").select("host", "part", "code")
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_run: int = 8, part_bytes: int = 256 << 20) -> DataFrame:
+def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_run: int = 8, part_bytes: int = 32 << 20) -> DataFrame:
     """id, url, text and n_chars of every page."""
     spark = pages.sparkSession
     named = pages.select(
