@@ -17,6 +17,14 @@ piece: a piece that an earlier document has is removed at once. Second, of the o
 extent of a passage is exact to the word, and only its ends are looked at run by run. Runs and pieces that touch
 a paragraph to be removed take no part, so that what a document keeps for others is left in it.
 
+Last, passages copied with a few changed words, in whatever lines or sentences they stand. A place is the
+least hash of ``window``-word shingles around, so a place that two texts share is a collision of MinHash values of
+paragraphs that begin anywhere. The words around each shared place that is not removed yet are aligned with those
+around the same place in the earliest document that has it: runs of equal words, edits of up to three
+words between them. The longest stretch of ``least_words`` or more whose 5-word shingles have an exact Jaccard
+similarity of the threshold or more is removed. Words up to ``reach`` from a place are looked at; longer
+passages have more places. A near copy is missed where no place is shared, or only with an earlier document that is unlike around it.
+
 What is removed always has an equal or similar passage in a document with a smaller id; passages that
 repeat within one document only are left alone. Words are runs of characters other than white space.
 
@@ -138,7 +146,7 @@ def pieces(words: np.ndarray, at: np.ndarray, window: int, least_words: int, pow
     return np.where(there, code, np.uint64(0)), end
 
 
-def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, window: int = 16, threshold: float = 0.8, values: int = 27, recall: float = 0.998) -> DataFrame:
+def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, window: int = 8, threshold: float = 0.8, values: int = 27, recall: float = 0.998, reach: int = 80) -> DataFrame:
     """id, start, end (characters), n_words and kept_id (the document that keeps the passage) of what is to be removed.
 
     Spans of a document don't overlap.
@@ -146,7 +154,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     flat = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
     kind = dict(flat.dtypes)["id"]
     with workspace(docs.sparkSession):
-        cases = cut(repeats(flat, least_words, window, threshold, values, recall))
+        cases = cut(repeats(flat, least_words, window, threshold, values, recall, reach))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +167,7 @@ def removed_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return out.mapInPandas(settle, f"id {kind}, start long, end long, n_words long, kept_id {kind}").withColumnRenamed("id", id_column)
 
 
-def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, values: int, recall: float) -> DataFrame:
+def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, values: int, recall: float, reach: int) -> DataFrame:
     """id and cases (ranges of words and the document that keeps them) of the documents of flat (id, text) with something to be removed."""
     kind = dict(flat.dtypes)["id"]
     around = least_words - window + 1
@@ -195,7 +203,7 @@ def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, va
 
     short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long, piece long, to int"))
     shared = cut(short.groupBy("code").agg(F.min("which").alias("low"), F.max("which").alias("high")).where("low <> high").select("code"))
-    near = reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list(F.struct("at", "to", "piece")).alias("places"))
+    near = reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list(F.struct("at", "to", "piece", "code")).alias("places"))
     near = cut(near.join(copies, "id", "left_anti").join(gone, "id", "left"))
 
     # Pieces that an earlier document has.
@@ -229,11 +237,108 @@ def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, va
     looked_at = looked_at.select("id", "text", F.col("places.at").alias("at"), *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
     single = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
     first = cut(single.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
-    ends = single.join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept")
-    told = later.union(ends).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept"))
+    ends = written(single.join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept"))
+    edited = near_copies(flat, near, later.union(ends), least_words, window, threshold, reach)
+    told = later.union(ends).union(edited).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept"))
     return told.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("cases"))
 
 
+def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words: int, window: int, threshold: float, reach: int) -> DataFrame:
+    """id, begin, end, kept of passages like one of an earlier document around places that no range of exact covers."""
+    kind = dict(flat.dtypes)["id"]
+
+    def uncovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, at, code, told_begin, told_end, gone_begin, gone_end in batch.itertuples(index=False):
+                n = int(at.max()) + window
+
+                def inside(begin: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
+                    """How many words of each place are in the ranges."""
+                    if begin is None:
+                        return np.zeros(len(at), dtype=np.int64)
+                    sums = np.concatenate([[0], np.cumsum(marked(begin, end, n))])
+                    return sums[at + window] - sums[at]
+
+                free = inside(gone_begin, gone_end) == 0
+                left = (inside(told_begin, told_end) < window)[free]
+                yield pd.DataFrame({"id": np.repeat(i, len(left)), "at": at[free], "code": code[free], "left": left})
+
+    done = exact.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
+    ranged = near.join(done, "id", "left").select("id", *[F.col(f"places.{c}").alias(c) for c in ("at", "code")], *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
+    places = written(ranged.mapInPandas(uncovered, f"id {kind}, at int, code long, left boolean"))
+    first = places.groupBy("code").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.when(F.col("left"), F.col("id"))).alias("high")).where("first.id <> high")
+    first = cut(first.select("code", F.col("first.id").alias("kept"), F.col("first.at").alias("kept_at")))
+    pairs = written(reduced(places.where("left"), first, ["code"]).join(first, "code").where("id <> kept").select("id", "at", "kept", "kept_at"))
+
+    def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            for begin, texts in blocks(batch["text"].tolist()):
+                codes, counts = words.of(texts)
+                rows = []
+                for i, at, own in zip(batch["id"].iloc[begin : begin + len(texts)], batch["at"].iloc[begin : begin + len(texts)], np.split((codes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)[:-1])):
+                    rows += [(i, a, min(a, reach), own[max(a - reach, 0) : a + window + reach].tobytes()) for a in at.tolist()]
+                yield pd.DataFrame(rows, columns=["id", "at", "before", "words"])
+
+    wanted = pairs.select("id", "at").union(pairs.select("kept", "kept_at").distinct()).groupBy("id").agg(F.collect_set("at").alias("at"))
+    wanted = cut(wanted)
+    around = reduced(flat, wanted, ["id"]).join(wanted, "id").select("id", "text", "at")
+    around = written(around.mapInPandas(surroundings, f"id {kind}, at int, before int, words binary"))
+    kept = around.select(F.col("id").alias("kept"), F.col("at").alias("kept_at"), F.col("before").alias("kept_before"), F.col("words").alias("kept_words"))
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, at, before, own, k, kept_before, other in batch.itertuples(index=False):
+                found = like_stretch(np.frombuffer(own, np.uint32), before, np.frombuffer(other, np.uint32), kept_before, window, least_words, threshold)
+                if found is not None:
+                    rows.append((i, at - before + found[0], at - before + found[1], k))
+            yield pd.DataFrame(rows, columns=["id", "begin", "end", "kept"])
+
+    both = pairs.join(around, ["id", "at"]).join(kept, ["kept", "kept_at"]).select("id", "at", "before", "words", "kept", "kept_before", "kept_words")
+    return both.mapInPandas(extend, f"id {kind}, begin int, end int, kept {kind}")
+
+
+#: Words of one side and of the other that one edit replaces.
+_EDITS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3)]
+
+
+def equal_ends(a: np.ndarray, b: np.ndarray, edits: int = 3, again: int = 5) -> list[tuple[int, int]]:
+    """Words of a and of b up to the end of each run of equal words; an edit stands between runs, and the next one has ``again`` words or more."""
+    i = j = 0
+    out = []
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
+        run = int(differ[0]) if len(differ) else n
+        i, j = i + run, j + run
+        out.append((i, j))
+        if len(out) > edits:
+            return out
+        for p, q in _EDITS:
+            x, y = a[i + p : i + p + again], b[j + q : j + q + again]
+            if len(x) == len(y) == again and (x == y).all():
+                i, j = i + p, j + q
+                break
+        else:
+            return out
+
+
+def like_stretch(a: np.ndarray, at: int, b: np.ndarray, b_at: int, window: int, least_words: int, threshold: float, n: int = 5) -> tuple[int, int] | None:
+    """Begin and end in a of the longest stretch of least_words or more around a place that is so similar to one of b around its place."""
+    left = equal_ends(a[:at][::-1], b[:b_at][::-1])
+    right = equal_ends(a[at + window :], b[b_at + window :])
+    cases = [(at - i, at + window + k, b_at - j, b_at + window + m) for i, j in left for k, m in right]
+    for begin, end, low, high in sorted(cases, key=lambda c: c[0] - c[1]):
+        if min(end - begin, high - low) < least_words:
+            continue
+        own, other = ({w[4 * k : 4 * (k + n)] for k in range(len(w) // 4 - n + 1)} for w in (a[begin:end].tobytes(), b[low:high].tobytes()))
+        shared = len(own & other)
+        if shared >= threshold * (len(own) + len(other) - shared) - 1e-9:
+            return begin, end
+    return None
+
+
 def marked(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges."""
     begins, ends = np.clip(begins, 0, n), np.clip(ends, 0, n)

@@ -172,3 +172,71 @@ def test_tables_of_the_work_are_deleted(spark, small):
     found = sub.op8_paragraph_banding(spark, small)
     assert not [p for p in set(folder.iterdir()) - before if p.name.startswith(("work-", "table-"))]
     assert found.count() > 0
+
+
+def like_by_brute_force(a, b):
+    """Words of b in stretches of fifty or more that are 0.8 alike to one of a: every pair of ends of equal runs is tried."""
+    from difflib import SequenceMatcher
+
+    runs = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 5]
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    out = set()
+    for i, x in enumerate(runs):
+        for y in runs[i:]:
+            own, other = b[x.b : y.b + y.size], a[x.a : y.a + y.size]
+            p, q = shingled(own), shingled(other)
+            if min(len(own), len(other)) >= 50 and len(p & q) >= 0.8 * len(p | q):
+                out |= set(range(x.b, y.b + y.size))
+    return out
+
+
+def test_near_copies_within_other_text_are_found_as_by_brute_force(spark):
+    rng = random.Random(21)
+    cases = {"in a line": (None, 90, 1), "8 lines": (8, 0, 1), "12 lines": (12, 0, 1), "25 lines": (25, 0, 2), "60 lines": (60, 0, 4)}
+    rows, pairs, clean = [], [], []
+    for case, (lines, size, edits) in cases.items():
+        for _ in range(30):
+            passage = [words(rng, size)] if lines is None else [words(rng, rng.randrange(6, 13)) for _ in range(lines)]
+            copy = [list(line) for line in passage]
+            for e in range(edits):
+                line = copy[(e + 1) * len(copy) // (edits + 1)]
+                line[len(line) // 2] = f"changed{e}"
+            told = []
+            for lines_of in (passage, copy):
+                before, after = ([words(rng, 6 + rng.randrange(7)) for _ in range(rng.randrange(3, 12))] for _ in "ab")
+                if lines is None:
+                    told.append(" ".join(w for line in before + lines_of + after for w in line))
+                else:
+                    told.append("\n".join(" ".join(line) for line in before + lines_of + after))
+            pairs.append((case, len(rows), len(rows) + 1))
+            rows += [(len(rows), told[0]), (len(rows) + 1, told[1])]
+        clean.append(len(rows))
+        rows.append((len(rows), "\n".join(" ".join(words(rng, 9)) for _ in range(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {}
+    for r in sub.removed_spans(docs).collect():
+        at = len(rows[r.doc_id][1][: r.start].split())
+        removed.setdefault(r.doc_id, set()).update(range(at, at + r.n_words))
+    assert not [i for i in removed if i in clean or i in {a for _, a, _ in pairs}]
+    wanted, found, extra = {}, {}, 0
+    for case, a, b in pairs:
+        true = like_by_brute_force(rows[a][1].split(), rows[b][1].split())
+        wanted[case] = wanted.get(case, 0) + len(true)
+        found[case] = found.get(case, 0) + len(true & removed.get(b, set()))
+        extra += len(removed.get(b, set()) - true)
+    recall = {case: found[case] / wanted[case] for case in cases}
+    print(recall, extra)
+    assert min(recall.values()) >= 0.9 and extra <= 0.01 * sum(wanted.values()), (recall, extra)
+
+
+def test_alignment_takes_edits_and_stops_at_other_text():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 70, dtype=np.uint32)
+    changed = np.concatenate([base[:30], base[31:]])  # a word is missing
+    other = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    a, b = np.concatenate([other(20), changed, other(20)]), np.concatenate([other(9), base, other(40)])
+    assert sub.like_stretch(a, 20 + 40, b, 9 + 41, 8, 50, 0.8) == (20, 89)
+    assert sub.like_stretch(a, 20 + 40, b, 9 + 41, 8, 70, 0.8) is None
+    assert sub.like_stretch(a[:60], 52, b[:50], 42, 8, 50, 0.8) is None
