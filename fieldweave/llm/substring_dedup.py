@@ -268,7 +268,9 @@ def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words:
     places = written(ranged.mapInPandas(uncovered, f"id {kind}, at int, code long, left boolean"))
     first = places.groupBy("code").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.when(F.col("left"), F.col("id"))).alias("high")).where("first.id <> high")
     first = cut(first.select("code", F.col("first.id").alias("kept"), F.col("first.at").alias("kept_at")))
-    pairs = written(reduced(places.where("left"), first, ["code"]).join(first, "code").where("id <> kept").select("id", "at", "kept", "kept_at"))
+    met = reduced(places.where("left"), first, ["code"]).join(first, "code").where("id <> kept")
+    block, kept_block = (F.expr(f"{c} div {_BLOCK}").cast("int") for c in ("at", "kept_at"))
+    pairs = written(met.groupBy("id", block.alias("block"), "kept", kept_block.alias("kept_block")).agg(F.collect_list(F.struct("at", "kept_at")).alias("places")))
 
     def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -276,29 +278,37 @@ def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words:
             for begin, texts in blocks(batch["text"].tolist()):
                 codes, counts = words.of(texts)
                 rows = []
-                for i, at, own in zip(batch["id"].iloc[begin : begin + len(texts)], batch["at"].iloc[begin : begin + len(texts)], np.split((codes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)[:-1])):
-                    rows += [(i, a, min(a, reach), own[max(a - reach, 0) : a + window + reach].tobytes()) for a in at.tolist()]
-                yield pd.DataFrame(rows, columns=["id", "at", "before", "words"])
+                for i, wanted, own in zip(batch["id"].iloc[begin : begin + len(texts)], batch["blocks"].iloc[begin : begin + len(texts)], np.split((codes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)[:-1])):
+                    rows += [(i, b, own[begins(b) : (b + 1) * _BLOCK + window + reach].tobytes()) for b in wanted.tolist()]
+                yield pd.DataFrame(rows, columns=["id", "block", "words"])
 
-    wanted = pairs.select("id", "at").union(pairs.select("kept", "kept_at").distinct()).groupBy("id").agg(F.collect_set("at").alias("at"))
+    # Words are shipped once for all places of a block of a text.
+    begins = lambda b: max(b * _BLOCK - reach, 0)
+    wanted = pairs.select("id", "block").union(pairs.select("kept", "kept_block").distinct()).groupBy("id").agg(F.collect_set("block").alias("blocks"))
     wanted = cut(wanted)
-    around = reduced(flat, wanted, ["id"]).join(wanted, "id").select("id", "text", "at")
-    around = written(around.mapInPandas(surroundings, f"id {kind}, at int, before int, words binary"))
-    kept = around.select(F.col("id").alias("kept"), F.col("at").alias("kept_at"), F.col("before").alias("kept_before"), F.col("words").alias("kept_words"))
+    around = reduced(flat, wanted, ["id"]).join(wanted, "id").select("id", "text", "blocks")
+    around = written(around.mapInPandas(surroundings, f"id {kind}, block int, words binary"))
+    kept = around.select(F.col("id").alias("kept"), F.col("block").alias("kept_block"), F.col("words").alias("kept_words"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, at, before, own, k, kept_before, other in batch.itertuples(index=False):
-                found = like_stretch(np.frombuffer(own, np.uint32), before, np.frombuffer(other, np.uint32), kept_before, window, least_words, threshold)
-                if found is not None:
-                    rows.append((i, at - before + found[0], at - before + found[1], k))
-            yield pd.DataFrame(rows, columns=["id", "begin", "end", "kept"])
-
-    both = pairs.join(around, ["id", "at"]).join(kept, ["kept", "kept_at"]).select("id", "at", "before", "words", "kept", "kept_before", "kept_words")
+            for i, block, own, k, kept_block, other, at, kept_at in batch.itertuples(index=False):
+                own, other = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
+                for a, b in zip((at - begins(block)).tolist(), (kept_at - begins(kept_block)).tolist()):
+                    low, kept_low = max(a - reach, 0), max(b - reach, 0)
+                    found = like_stretch(own[low : a + window + reach], a - low, other[kept_low : b + window + reach], b - kept_low, window, least_words, threshold)
+                    if found is not None:
+                        rows.append((i, begins(block) + low + found[0], begins(block) + low + found[1], k))
+            yield pd.DataFrame(rows, columns=["id", "begin", "end", "kept"]).drop_duplicates()
+
+    both = pairs.join(around, ["id", "block"]).join(kept, ["kept", "kept_block"])
+    both = both.select("id", "block", "words", "kept", "kept_block", "kept_words", "places.at", "places.kept_at")
     return both.mapInPandas(extend, f"id {kind}, begin int, end int, kept {kind}")
 
 
+#: Words of a text whose places share one row.
+_BLOCK = 256
 #: Words of one side and of the other that one edit replaces.
 _EDITS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3)]
 
