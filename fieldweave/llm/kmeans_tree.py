@@ -10,7 +10,7 @@ until the leaves it has visited hold k other vectors, so none gets fewer while t
 
 Vectors and queries meet in cells: a group of neighbouring leaves, dealt into parts by its number of
 rows and into parts by its number of queries, so that no cell outgrows a task however common a vector
-is. A cell returns each query's best rows; a window keeps the best of all.
+is. In a cell only rows of leaves that a query visits are scored for it. A cell returns each query's best rows; a window keeps the best of all.
 
 Nearness is the inner product in double precision on the vectors as given; a candidate's score is
 summed in one fixed order, so equal vectors tie exactly, and ties go to the smaller id. Rows whose
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from fieldweave.llm.common import cut, spread, table
 
 _BLOCK = 2048
+_TOGETHER = 64  # queries scored at once
 
 
 class Tree:
@@ -104,30 +105,38 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(points[i : i + _BLOCK] @ centres.T - half).argmax(axis=1) for i in range(0, len(points), _BLOCK)] or [np.zeros(0, dtype=int)])
 
 
-def best_rows(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def best_rows(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its number, the places of its k best points (ties to smaller ids, own id left out) and their scores.
 
-    allowed[q, g]: whether query q may see group g; points come with their groups in ``allowed``'s second part.
+    With leaf (of each point) and visited (leaves, by query) only points of visited leaves are scored.
     """
-    mask, groups = allowed if allowed is not None else (None, None)
-    order = np.argsort(ids, kind="stable")
+    leaf = np.zeros(len(ids), dtype=np.int32) if leaf is None else leaf
+    order = np.lexsort((ids, leaf))
     points, ids = points[order], ids[order]
-    distinct, same = np.unique(points, axis=0, return_inverse=True)  # equal vectors get equal scores
-    same = same.reshape(-1)
-    groups = groups[order] if groups is not None else None
-    for q in range(len(queries)):
-        score = (distinct @ queries[q])[same]
-        score[ids == query_ids[q]] = -np.inf
-        if mask is not None:
-            score[~mask[q][groups]] = -np.inf
-        if len(score) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            above = np.flatnonzero(score > edge)
-            take = np.concatenate([above, np.flatnonzero(score == edge)[: k - len(above)]])
-        else:
-            take = np.arange(len(score))
-        take = take[score[take] > -np.inf]
-        yield q, order[take], (points[take] * queries[q]).sum(axis=1)
+    names, first = np.unique(leaf[order], return_index=True)
+    ranges = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)]))
+    parts = [np.unique(points[a:b], axis=0, return_inverse=True) for a, b in ranges]  # equal vectors get equal scores
+    sees = np.ones((len(queries), len(names)), dtype=bool)
+    if visited is not None:
+        for q, own in enumerate(visited):
+            sees[q] = np.isin(names, own)
+    for begin in range(0, len(queries), _TOGETHER):
+        some = slice(begin, begin + _TOGETHER)
+        scores = np.full((len(queries[some]), len(ids)), -np.inf)
+        for n, ((a, b), (distinct, same)) in enumerate(zip(ranges, parts)):
+            rows = np.flatnonzero(sees[some, n])
+            if len(rows):
+                scores[rows, a:b] = (queries[begin + rows] @ distinct.T)[:, same.reshape(-1)]
+        for q, score in enumerate(scores, begin):
+            score[ids == query_ids[q]] = -np.inf
+            if len(score) > k:
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                above, level = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
+                take = np.concatenate([above, level[np.argsort(ids[level], kind="stable")[: k - len(above)]]])
+            else:
+                take = np.arange(len(score))
+            take = take[score[take] > -np.inf]
+            yield q, order[take], (points[take] * queries[q]).sum(axis=1)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -213,12 +222,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
     def meet(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"query_id": [], id_column: [], "score": []})
-        first = int(points["leaf"].min() // together * together)
-        mask = np.zeros((len(queries), together), dtype=bool)
-        for q, ls in enumerate(queries["leaves"]):
-            mask[q, np.asarray(ls) - first] = True
         ids, query_ids = points["id"].to_numpy(), queries["id"].to_numpy()
-        found = [pd.DataFrame({"query_id": query_ids[q], id_column: ids[at], "score": score}) for q, at, score in best_rows(_matrix(queries["v"]), query_ids, _matrix(points["v"]), ids, k, (mask, points["leaf"].to_numpy() - first))]
+        best = best_rows(_matrix(queries["v"]), query_ids, _matrix(points["v"]), ids, k, points["leaf"].to_numpy(), queries["leaves"].tolist())
+        found = [pd.DataFrame({"query_id": query_ids[q], id_column: ids[at], "score": score}) for q, at, score in best]
         return pd.concat(found)
 
     cell = ["grp", "part", "query_part"]

@@ -62,3 +62,15 @@ def test_best_bin_first_reaches_every_leaf():
     tree = knn.Tree(points, 40)
     assert sorted(tree.visits(points[0], 10_000)) == list(range(tree.leaves))
     assert set(tree.assign(points)) <= set(range(tree.leaves)) and len(set(tree.visits(points[1], 5))) == 5
+
+
+def test_only_visited_leaves_are_scored():
+    rng = np.random.default_rng(7)
+    points, ids = np.repeat(rng.normal(size=(300, 6)), 2, axis=0), rng.permutation(600)
+    leaf = np.repeat(rng.integers(10, 22, 300), 2)
+    queries, query_ids = rng.normal(size=(150, 6)), np.concatenate([ids[:75], np.arange(1000, 1075)])
+    visited = [rng.choice(np.arange(10, 24), rng.integers(0, 6), replace=False) for _ in queries]
+    for q, at, score in knn.best_rows(queries, query_ids, points, ids, 7, leaf, visited):
+        seen = np.flatnonzero(np.isin(leaf, visited[q]) & (ids != query_ids[q]))
+        want = sorted((-s, i) for s, i in zip((points[seen] * queries[q]).sum(axis=1).tolist(), ids[seen].tolist()))[:7]
+        assert sorted(zip((-score).tolist(), ids[at].tolist())) == want
