@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import WORD, cut, reduced, spread, table, workspace, written
@@ -204,14 +204,14 @@ def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, va
     short = written(spread(flat).withColumn("which", F.xxhash64("text")).mapInPandas(cover, f"id {kind}, which long, at int, code long, piece long, to int"))
     shared = cut(short.groupBy("code").agg(F.min("which").alias("low"), F.max("which").alias("high")).where("low <> high").select("code"))
     near = reduced(short, shared, ["code"]).join(shared, "code").groupBy("id").agg(F.collect_list(F.struct("at", "to", "piece", "code")).alias("places"))
-    near = cut(near.join(copies, "id", "left_anti").join(gone, "id", "left"))
+    near = written(near.join(copies, "id", "left_anti").join(gone, "id", "left"))
 
     # Pieces that an earlier document has.
     touched = lambda begin, end: F.exists("gone", lambda g: (g["begin"] < end) & (g["end"] > begin))
     whole = near.select("id", "gone", F.explode("places").alias("p")).select("id", "gone", "p.*").where(F.col("to") > 0)
-    whole = cut(whole.where(F.col("gone").isNull() | ~touched(F.col("at"), F.col("to"))).select("id", "at", "to", "piece"))
+    whole = written(whole.where(F.col("gone").isNull() | ~touched(F.col("at"), F.col("to"))).select("id", "at", "to", "piece"))
     first = cut(whole.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("piece", "kept"))
-    later = cut(whole.join(first, "piece").where("id <> kept").select("id", F.col("at").alias("begin"), F.col("to").alias("end"), "kept"))
+    later = cut(reduced(whole, first, ["piece"]).join(first, "piece").where("id <> kept").select("id", F.col("at").alias("begin"), F.col("to").alias("end"), "kept"))
     done = later.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
 
     # Every other run of least_words words around the places.
@@ -233,11 +233,12 @@ def repeats(flat: DataFrame, least_words: int, window: int, threshold: float, va
                     codes.append(rolled[begins])
                 yield pd.DataFrame({"id": np.concatenate(ids), "at": np.concatenate(places).astype(np.int32), "code": np.concatenate(codes).astype(np.int64)})
 
-    looked_at = reduced(flat, near, ["id"]).join(near, "id").join(done, "id", "left")
-    looked_at = looked_at.select("id", "text", F.col("places.at").alias("at"), *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
+    placed = near.select("id", F.col("places.at").alias("at"), *ranges("gone"))  # before the join, so that no more is shuffled
+    looked_at = reduced(flat, near, ["id"]).join(placed, "id").join(done.select("id", *ranges("told")), "id", "left")
+    looked_at = looked_at.select("id", "text", "at", "told_begin", "told_end", "gone_begin", "gone_end")
     single = written(looked_at.mapInPandas(runs, f"id {kind}, at int, code long"))
     first = cut(single.groupBy("code").agg(F.min("id").alias("kept"), F.max("id").alias("high")).where("kept <> high").select("code", "kept"))
-    ends = written(single.join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept"))
+    ends = written(reduced(single, first, ["code"]).join(first, "code").where("id <> kept").select("id", F.col("at").alias("begin"), (F.col("at") + least_words).alias("end"), "kept"))
     edited = near_copies(flat, near, later.union(ends), least_words, window, threshold, reach)
     told = later.union(ends).union(edited).union(alike).union(copies.select("id", F.lit(0), F.lit(_END), "kept"))
     return told.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("cases"))
@@ -264,7 +265,8 @@ def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words:
                 yield pd.DataFrame({"id": np.repeat(i, len(left)), "at": at[free], "code": code[free], "left": left})
 
     done = exact.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
-    ranged = near.join(done, "id", "left").select("id", *[F.col(f"places.{c}").alias(c) for c in ("at", "code")], *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("told", "gone") for e in ("begin", "end")])
+    ranged = near.select("id", F.col("places.at").alias("at"), F.col("places.code").alias("code"), *ranges("gone")).join(done.select("id", *ranges("told")), "id", "left")
+    ranged = ranged.select("id", "at", "code", "told_begin", "told_end", "gone_begin", "gone_end")
     places = written(ranged.mapInPandas(uncovered, f"id {kind}, at int, code long, left boolean"))
     first = places.groupBy("code").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.when(F.col("left"), F.col("id"))).alias("high")).where("first.id <> high")
     first = cut(first.select("code", F.col("first.id").alias("kept"), F.col("first.at").alias("kept_at")))
@@ -349,6 +351,11 @@ def like_stretch(a: np.ndarray, at: int, b: np.ndarray, b_at: int, window: int,
     return None
 
 
+def ranges(column: str) -> list[Column]:
+    """The begins and the ends of an array of ranges."""
+    return [F.col(f"{column}.{e}").alias(f"{column}_{e}") for e in ("begin", "end")]
+
+
 def marked(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges."""
     begins, ends = np.clip(begins, 0, n), np.clip(ends, 0, n)
