@@ -64,12 +64,45 @@ def variant_text(value: Column | str, path: str = "$") -> Column:
     return F.try_variant_get(F.col(value) if isinstance(value, str) else value, path, "string")
 
 
+def referenced(rows: DataFrame, reference: Column, target: DataFrame, target_key: str, own: Column | str) -> DataFrame:
+    """rows with the columns of the target row that a reference names, null where it names none.
+
+    Rows without a reference match nothing; they are dealt by a value of their own, as nulls would all go to one task.
+    """
+    asked = rows.withColumn("__there", reference.isNotNull()).withColumn("__at", F.coalesce(reference, own))
+    named = target.withColumnRenamed(target_key, "__at").withColumn("__there", F.lit(True))
+    return asked.join(named, ["__at", "__there"], "left").drop("__at", "__there")
+
+
 def followed(objects: DataFrame, pointer: Column, cache: DataFrame, to: str) -> DataFrame:
     """objects with ``to``: the object of the cache that a pointer's __ref names, or, where it has none or names none, the pointer itself."""
-    named = cache.select(F.col("key").alias("__key"), F.col("obj").alias("__named"))
-    asked = objects.withColumn("__pointer", pointer)
-    found = asked.join(named, variant_text("__pointer", "$.__ref") == F.col("__key"), "left")
-    return found.withColumn(to, F.when(F.col("__key").isNotNull(), F.col("__named")).otherwise(F.col("__pointer"))).drop("__key", "__named", "__pointer")
+    named = cache.select(F.col("key").alias("__key"), F.col("obj").alias("__named"), F.lit(True).alias("__found"))
+    found = referenced(objects.withColumn("__pointer", pointer), variant_text("__pointer", "$.__ref"), named, "__key", "key")
+    return found.withColumn(to, F.when(F.col("__found"), F.col("__named")).otherwise(F.col("__pointer"))).drop("__found", "__named", "__pointer")
+
+
+def _as_tree(value: str, at: str = "$") -> Column:
+    """What a location needs of the object at a path, as texts: no more is shuffled."""
+    first = lambda *fields: first_given(*[variant_text(value, f"{at}.{f}") for f in fields])
+    return F.struct(
+        variant_text(value, f"{at}.id").alias("treeId"),
+        first("latitude", "lat", "location.lat").alias("lat"),
+        first("longitude", "lng", "lon", "location.lng").alias("lng"),
+        text_of(without_commas(first("closestAddress", "address"))).alias("address"),
+        variant_text(value, f"{at}.species.__ref").alias("kind"),
+        variant_text(value, f"{at}.species.commonName").alias("species"),
+    )
+
+
+def _kinds(cache: DataFrame, salt: Column) -> DataFrame:
+    """kind, salt and name of the objects of the cache that trees name as their species, once for each salt of the trees that do.
+
+    However many trees have one species, a row of it meets no more than a salt's share of them.
+    """
+    told = F.array(*[F.struct(variant_text("obj", f"{at}.species.__ref").alias("kind"), variant_text("obj", f"{at}.id").alias("treeId")) for at in ("$", "$.tree")])
+    asked = cache.select(F.inline(told)).where("kind is not null AND treeId is not null").select("kind", salt.alias("salt")).distinct()
+    named = cache.select(F.col("key").alias("kind"), variant_text("obj", "$.commonName").alias("name"))
+    return asked.join(named, "kind").groupBy("kind", "salt").agg(F.min("name").alias("name"), F.lit(True).alias("found"))
 
 
 def cached_locations(cache: DataFrame) -> DataFrame:
@@ -78,24 +111,20 @@ def cached_locations(cache: DataFrame) -> DataFrame:
     Objects of a tree type come first; the tree of an activity, which it holds or points to, is used where no such
     object has its coordinates. Of several objects with one id the one with the smallest key counts. Fields that are not known don't matter.
     """
-
-    def told(rows: DataFrame, rank: int) -> DataFrame:
-        known = followed(rows, F.variant_get("tree", "$.species", "variant"), cache, "kind")
-        at = lambda *paths: first_given(*[variant_text("tree", f"$.{p}") for p in paths])
-        return known.select(
-            variant_text("tree", "$.id").alias("treeId"),
-            at("latitude", "lat", "location.lat").alias("lat"),
-            at("longitude", "lng", "lon", "location.lng").alias("lng"),
-            text_of(without_commas(at("closestAddress", "address"))).alias("address"),
-            text_of(without_commas(variant_text("kind", "$.commonName"))).alias("species"),
-            F.lit(rank).alias("rank"),
-            "key",
-        ).where(located())
-
-    present = cache.where(first_given(variant_text("obj", "$.id")).isNotNull())
-    trees = present.where(_kind().isin("tree", "streettree", "nyctree")).select("key", F.col("obj").alias("tree"))
-    pointed = followed(present.where(is_activity()), F.variant_get("obj", "$.tree", "variant"), cache, "tree").select("key", "tree")
-    return kept_once(told(trees, 0).unionByName(told(pointed, 1)), ["treeId"], ["rank", "key"]).drop("rank", "key")
+    present = first_given(variant_text("obj", "$.id")).isNotNull()
+    tree = F.when(_kind().isin("tree", "streettree", "nyctree"), F.struct(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("ref"), _as_tree("obj").alias("tree")))
+    activity = F.when(is_activity(), F.struct(F.lit(1).alias("rank"), variant_text("obj", "$.tree.__ref").alias("ref"), _as_tree("obj", "$.tree").alias("tree")))
+    told = cache.where(present).select("key", F.explode(F.array(tree, activity)).alias("t")).where("t is not null").select("key", "t.*")
+    # Activities that point to one tree differ in nothing but their keys.
+    told = told.where(F.col("ref").isNotNull() | located("tree.lat", "tree.lng")).groupBy("rank", "ref", "tree").agg(F.min("key").alias("key"))
+    named = cache.select(F.col("key").alias("named_key"), _as_tree("obj").alias("named"), F.lit(True).alias("found"))
+    told = referenced(told, F.col("ref"), named, "named_key", "key").select("rank", "key", F.when(F.col("found"), F.col("named")).otherwise(F.col("tree")).alias("tree"))
+    kept = kept_once(told.select("rank", "key", "tree.*").where(located()), ["treeId"], ["rank", "key"]).drop("rank", "key")
+    # Which row is kept does not depend on its species, so that one is looked up last.
+    parts = 4 * int(cache.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(F.col("kind").isNull(), F.xxhash64("treeId")).otherwise(F.pmod(F.xxhash64("treeId"), F.lit(parts)))
+    named = kept.withColumn("salt", salt).join(_kinds(cache, salt), ["kind", "salt"], "left")
+    return named.select("treeId", "lat", "lng", "address", text_of(without_commas(F.when(F.col("found"), F.col("name")).otherwise(F.col("species")))).alias("species"))
 
 
 def cached_activities(cache: DataFrame) -> DataFrame:

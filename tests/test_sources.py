@@ -63,6 +63,29 @@ def test_object_cache_with_ragged_objects(spark, tmp_path):
         ("1", "2026-04-20", "Elm", "embedded, here", "Watered; Weeded", ""), ("2", "", "", "", "x; y", ""), ("3", "", "", "", "plain", "0"), ("4", "", "", "", "", ""), ("6", "", "", "", "", "")]
 
 
+def test_object_cache_without_references_is_dealt_evenly(spark, tmp_path):
+    """Trees that activities hold themselves name nothing: they must not meet in one task, nor must those of one species."""
+    held = [{"key": f"A:{i}", "obj": {"__typename": "ActivityReport", "id": i, "tree": {"id": i, "lat": 1, "lng": 2, "species": {"commonName": "own"}}}} for i in range(400)]
+    pointing = [{"key": f"B:{i}", "obj": {"__typename": "ActivityReport", "id": i, "tree": {"__ref": f"T:{i % 200}"}}} for i in range(400)]
+    trees = [{"key": f"T:{i}", "obj": {"__typename": "Other", "id": f"t{i}", "lat": 3, "lng": 4, "species": {"__ref": "S:1"}}} for i in range(200)]
+    gone = {"key": "B:x", "obj": {"__typename": "ActivityReport", "id": 1, "tree": {"__ref": "none", "id": "x", "lat": 5, "lng": 6, "species": {"__ref": "none", "commonName": "kept"}}}}
+    cache = activities.read_cache(spark, lines(tmp_path / "c.json", *held, *pointing, *trees, gone, {"key": "S:1", "obj": {"commonName": "Oak"}}))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pointed = joins.followed(cache.where(joins.is_activity()), F.variant_get("obj", "$.tree", "variant"), cache.where("key NOT LIKE 'A%'"), "tree")
+        for frame, n in ((pointed.where("key LIKE 'A%'"), 400), (joins.cached_locations(cache).where("treeId LIKE 't%'"), 200)):
+            shares = [r["count"] for r in frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+            assert sum(shares) == n and max(shares) < n / 2
+        got = {r.treeId: (r.lat, r.species) for r in joins.cached_locations(cache).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {str(i): ("1", "own") for i in range(400)} | {f"t{i}": ("3", "Oak") for i in range(200)} | {"x": ("5", "kept")}
+
+
 def test_tables(spark, tmp_path):
     store = tables.Tables(spark, str(tmp_path))
     assert store.read("TreeGuards").count() == 0 and store.read("Unknown").count() == 0
