@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.operators.joins import incremental_append
-from fieldweave.operators.rows import kept_once
+from fieldweave.operators.rows import given, kept_once
 from fieldweave.session import place
 from fieldweave.sources.commits import Log, Version
 from fieldweave.sources.schemas import TABLES, ddl
@@ -107,8 +107,8 @@ class Tables:
 
     def rewrite_sorted(self, name: str, rows: DataFrame, key: str, order: Sequence[Column | str], date: str = "date", keep: str = "last", file_rows: int = FILE_ROWS) -> None:
         """Replace the table by the last row of each key, sorted by date and key over all its files."""
-        kept = kept_once(rows, [key], order, keep)
-        whole = self._sorted_files(name, kept.withColumn("run", F.lit(0)), kept.count(), key, date, file_rows)
+        n_rows = rows.select(key).where(given(rows, key)).distinct().count()
+        whole = self._sorted_files(name, kept_once(rows, [key], order, keep).withColumn("run", F.lit(0)), n_rows, key, date, file_rows)
         self._publish(name, lambda _: whole)
 
     def merge_sorted(self, name: str, rows: DataFrame, key: str, order: Sequence[Column | str], date: str = "date", keep: str = "last", file_rows: int = FILE_ROWS) -> list[str]:
@@ -130,7 +130,7 @@ class Tables:
             lows = [parts[i]["low"] for k, i in enumerate(touched) if k == 0 or touched[k - 1] != i - 1] if ranged else []
             old = self._read(name, [parts[i] for i in touched])
             n_rows = new.count() + (sum(parts[i]["rows"] for i in touched) if ranged else old.count())
-            runs = old.join(new, key, "left_anti").unionByName(new).withColumn("run", _range_of(lows)(*_spot(key, date)))
+            runs = old.join(new, key, "left_anti").unionByName(new).withColumn("run", _range_of(lows, *_spot(key, date)))
             fresh = self._sorted_files(name, runs, n_rows, key, date, file_rows)
             return sorted([p for i, p in enumerate(parts) if i not in set(touched)] + fresh, key=lambda p: (p["low"], p["high"]))
 
@@ -142,12 +142,14 @@ class Tables:
         return replaced
 
     def _touched(self, name: str, parts: list[dict], new: DataFrame, key: str, date: str) -> list[int]:
-        """Positions of the files that new rows fall into or that hold their keys."""
-        into = new.select(_range_of([p["low"] for p in parts])(*_spot(key, date)).alias("i")).distinct()
-        named = self.spark.createDataFrame([(_short(p["path"]), i) for i, p in enumerate(parts)], "file string, i int")
-        there = self._read(name, parts).select(key, F.substring_index(F.input_file_name(), "/", -_SHORT).alias("file"))
-        holding = there.join(new.select(key), key, "left_semi").select("file").distinct().join(named, "file").select("i")
-        return sorted(r.i for r in into.union(holding).distinct().collect())  # a row for each file at most
+        """Positions of the files that new rows fall into or that hold their keys. Keys are read of the files into which none fall."""
+        into = {r.i for r in new.select(_range_of([p["low"] for p in parts], *_spot(key, date)).alias("i")).distinct().collect()}  # a row for each file at most
+        others = {_short(p["path"]): i for i, p in enumerate(parts) if i not in into}
+        if not others:
+            return sorted(into)
+        there = self._read(name, [parts[i] for i in others.values()]).select(key, F.substring_index(F.input_file_name(), "/", -_SHORT).alias("file"))
+        holding = there.join(new.select(key), key, "left_semi").select("file").distinct().collect()
+        return sorted(into | {others[r.file] for r in holding})
 
     def _sorted_files(self, name: str, rows: DataFrame, n_rows: int, key: str, date: str, file_rows: int) -> list[dict]:
         """Write rows of runs as files that are sorted within and against each other; their paths, least and greatest places and numbers of rows."""
@@ -192,15 +194,29 @@ def _short(path: str) -> str:
     return "/".join(path.split("/")[-_SHORT:])
 
 
-def _range_of(lows: list[list[str]]):
+def _range_of(lows: list[list[str]], date: Column, key: Column) -> Column:
     """The position of the last of some ascending places that is not after a row's; 0 if all are. There are as many as the log has files."""
+    if len(lows) <= _FEW:
+        return _halved(lows, F.struct(date, key), 0, len(lows))
     bounds = [tuple(low) for low in lows]
 
     @F.pandas_udf("int")
     def found(date: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([max(bisect_right(bounds, spot) - 1, 0) for spot in zip(date, key)], dtype="int32")
 
-    return found
+    return found(date, key)
+
+
+#: So many places are compared in an expression, more in Python.
+_FEW = 64
+
+
+def _halved(lows: list[list[str]], spot: Column, first: int, end: int) -> Column:
+    """The position, from first to before end, as comparisons that halve what is left."""
+    if end - first <= 1:
+        return F.lit(first)
+    middle = (first + end) // 2
+    return F.when(spot < F.struct(*map(F.lit, lows[middle])), _halved(lows, spot, first, middle)).otherwise(_halved(lows, spot, middle, end))
 
 
 class Conflict(RuntimeError):

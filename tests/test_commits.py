@@ -201,6 +201,27 @@ def test_merges_at_random(spark, tmp_path):
         check_sorted(store, there)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 65])
+def test_places_in_few_and_many_ranges(spark, n):
+    lows = sorted([f"2024-01-{random.Random(i).randint(1, 9):02d}", str(i)] for i in range(0, 2 * n, 2))
+    spots = [(d, k) for low in lows for d, k in ((low[0], low[1]), (low[0], low[1] + "0"), (low[0], ""), ("0000-00-00", "x"), ("2025", "ü"))]
+    got = spark.createDataFrame(spots, "d string, k string").select("d", "k", tables._range_of(lows, F.col("d"), F.col("k")).alias("i")).collect()
+    assert [r.i for r in got] == [max(sum(tuple(low) <= s for low in lows) - 1, 0) for s in spots]
+
+
+def test_a_merge_into_all_files_reads_them_once(spark, tmp_path, monkeypatch):
+    """Where new rows fall into every file, none is asked for its keys, and no row goes through Python."""
+    store = tables.Tables(spark, str(tmp_path))
+    store.rewrite_sorted("activities", acts(spark, *[(str(i), f"2024-01-{i % 9 + 1:02d}", "old") for i in range(90)]), "id", ["scrapedAt"], file_rows=20)
+    read, before = [], tables.Tables._read
+    monkeypatch.setattr(tables.Tables, "_read", lambda self, name, parts: (read.append({p["path"].split("/run=")[0] for p in parts}), before(self, name, parts))[1])
+    monkeypatch.setattr(F, "pandas_udf", lambda *a: pytest.fail("rows go through Python"))
+    old = {p["path"].split("/run=")[0] for p in store.parts("activities", store.log("activities").latest())}
+    assert len(store.merge_sorted("activities", acts(spark, *[(str(i), f"2024-01-{i % 9 + 1:02d}", "new") for i in range(0, 90, 2)]), "id", ["scrapedAt"], file_rows=20)) > 2
+    assert sum(r == old for r in read) == 1
+    check_sorted(store, {str(i): (f"2024-01-{i % 9 + 1:02d}", "old" if i % 2 else "new") for i in range(90)})
+
+
 def test_a_merge_sorts_a_plain_table(spark, tmp_path):
     store = tables.Tables(spark, str(tmp_path))
     store.overwrite("activities", acts(spark, ("2", "b", "1"), ("1", "a", "1")))
