@@ -97,6 +97,20 @@ def signatures(texts: list[str | None], words: Words, minhash: MinHash, n: int,
     return sizes, bands
 
 
+def profiles(texts: list[str | None], words: Words, minhash: MinHash, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingles (see shingles) and the MinHash values of each of many texts, each with a word."""
+    sets: list[np.ndarray] = []
+    signs = np.empty((len(texts), len(minhash.factor)), dtype=np.uint32)
+    for first, some in blocks(texts):
+        codes, length = words.of(some)
+        rolled, ends = rolling(codes, n), np.cumsum(length)
+        own = [np.unique(rolled[end - k : end - n + 1] if k >= n else rolling(codes[end - k : end], k)) for end, k in zip(ends.tolist(), length.tolist())]
+        sizes = np.array([len(o) for o in own])
+        signs[first : first + len(some)] = minhash.of_many(np.concatenate(own), np.cumsum(sizes) - sizes)
+        sets += own
+    return sets, signs
+
+
 def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     """The fewest equal values of so many at which the posterior of similarity >= threshold reaches the tolerance."""
     below = 0.0
@@ -196,7 +210,7 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     leaders = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
     links = reduced(banded, leaders, ["bucket"]).join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     could = components(links)
-    candidates = cut(texts.drop("bands").join(could, "node"))
+    candidates = cut(reduced(texts.drop("bands"), could, ["node"]).join(could, "node"))
 
     # What is compared with one another: the texts of a component (band -1), or of a bucket of it.
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks")
@@ -204,7 +218,8 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     member = candidates.select("node", "digest", "any_key", "copies", F.col("component").alias("group"), F.lit(-1).alias("band")).join(sums.select(F.col("component").alias("group"), "blocks"), "group")
     large = sums.where("blocks > 1")
     if not large.isEmpty():
-        met = cut(banded.join(could.join(large.select("component", F.col("n").alias("all")), "component"), "node"))
+        in_large = cut(could.join(large.select("component", F.col("n").alias("all")), "component"))
+        met = cut(reduced(banded, in_large, ["node"]).join(in_large, "node"))
         buckets = cut(met.groupBy("component", "all", "band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 1").select("component", "all", "band", "bucket", "n", blocks))
         chained = buckets.groupBy("component", "all").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).where(F.col("pairs") < F.col("all") * F.col("all")).select("component")
         apart = buckets.join(chained, "component").select(F.col("bucket").alias("group"), "band", "blocks")
@@ -230,12 +245,13 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["group", "band", "node"]).reset_index(drop=True)
         words, minhash, comparer = Words(), MinHash(values), Comparer(threshold, tolerance, values, step)
+        all_sets, all_signs = profiles(rows["text"].tolist(), words, minhash, n)
+        nodes, all_copies, all_blocks = (rows[c].to_numpy() for c in ("node", "copies", "block"))
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]  # the same in all rows
         out = []
-        for (_, band), part in rows.groupby(["group", "band"]):
-            sets = [shingles(t, words, n) for t in part["text"]]
-            signs = np.array([minhash.of(s) for s in sets])
-            node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
-            i, j = part["i"].iloc[0], part["j"].iloc[0]
+        for (_, band), part in rows.groupby(["group", "band"]).indices.items():
+            sets, signs = [all_sets[k] for k in part.tolist()], all_signs[part]
+            node, copies, block = nodes[part], all_copies[part], all_blocks[part]
             own = np.flatnonzero(block == i)
             others = own if i == j else np.flatnonzero(block == j)
             linked, label = np.zeros(len(part), dtype=np.int64), np.arange(len(part))
@@ -252,12 +268,16 @@ def similar(units: DataFrame, keys: list[str], text_column: str = "text", n: int
                     p, q = p[differ], q[differ]
             while (label[label] != label).any():
                 label = label[label]
-            out.append(pd.DataFrame({"node": node, "linked": linked, "toward": node[label]})[linked > 0])
-        return pd.concat(out)
+            there = linked > 0
+            out.append((node[there], linked[there], node[label][there]))
+        return pd.DataFrame(dict(zip(("node", "linked", "toward"), map(np.concatenate, zip(*out)))))
 
     found = cut(with_text.groupBy("cell", "alone", "i", "j").applyInPandas(compare, "node long, linked long, toward long"))
     classes = components(found.where("node <> toward").select(F.col("node").alias("a"), F.col("toward").alias("b")))
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
+    if only_linked:  # others have no copies and no links
+        texts = texts.drop("bands")
+        texts = texts.where("copies > 1").union(reduced(texts.where("copies = 1"), found, ["node"]))
     told = texts.join(classes, "node", "left").join(linked, "node", "left").select("digest", "key", "copies", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     told = cut(told)
     named = told.groupBy("component").agg(F.min("key").alias("class_key"))

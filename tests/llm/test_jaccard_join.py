@@ -100,3 +100,12 @@ def test_words_are_hashed_where_they_stand():
     assert counts.tolist() == [len(w) for w in words]
     flat = [w for own in words for w in own]
     assert len(set(zip(flat, codes.tolist()))) == len(set(flat)) == len(set(codes.tolist()))
+
+
+def test_profiles_of_many_texts_are_those_of_each():
+    words, minhash = Words(), join.MinHash(27)
+    texts = ["a", "a b c d", "a b c d e", " ".join("abcdefgh" * 20), "ü x\ny  z w v", "a b c d e a b c d e"] * 3 + ["w" * 500_000, "b"]
+    sets, signs = join.profiles(texts, words, minhash, 5)
+    for text, own, values in zip(texts, sets, signs):
+        alone = join.shingles(text, words)
+        assert (own == alone).all() and len(own) == len(alone) and (values == minhash.of(alone)).all()
