@@ -25,16 +25,16 @@ _folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 @contextmanager
-def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def workspace(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """What is written within goes to a folder of its own, which is deleted at the end; no frame that reads it may be used later.
 
-    Gives a function that writes a frame outside of that folder: the result.
+    Gives a function that writes a frame outside of that folder, as written does: the result.
     """
     outer = _folder.get() or shared_folder(spark)
     path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
     before = _folder.set(path)
     try:
-        yield lambda frame: written(frame, outer)
+        yield lambda frame, **how: written(frame, outer, **how)
     finally:
         _folder.reset(before)
         delete(spark, path)
@@ -54,15 +54,22 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame as written to the shared folder, so that a lost executor costs a reread only."""
+    """The frame as written to the shared folder, so that a lost executor costs a reread only.
+
+    It keeps the size that its query was planned with, which for a join is a product: not for loops (see written).
+    """
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
-def written(frame: DataFrame, folder: str | None = None, by: str | None = None) -> DataFrame:
-    """As cut, for larger frames: columns in a compressed file, of which later steps read what they need; by: the column that divides its files."""
+def written(frame: DataFrame, folder: str | None = None, by: str | None = None, plain: bool = False) -> DataFrame:
+    """As cut, for larger frames: columns in a compressed file, of which later steps read what they need; by: the column that divides its files.
+
+    Later joins are planned with the size of the files. plain: nothing is compressed, for a frame that a join may
+    broadcast; compressed files can be a tenth of what the driver would then hold.
+    """
     path = f"{folder or _folder.get() or shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    out = frame.write.option("compression", "zstd")
+    out = frame.write.options(**({"compression": "uncompressed", "parquet.enable.dictionary": "false"} if plain else {"compression": "zstd"}))
     (out.partitionBy(by) if by else out).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -272,7 +272,7 @@ def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words:
     first = cut(first.select("code", F.col("first.id").alias("kept"), F.col("first.at").alias("kept_at")))
     met = reduced(places.where("left"), first, ["code"]).join(first, "code").where("id <> kept")
     block, kept_block = (F.expr(f"{c} div {_BLOCK}").cast("int") for c in ("at", "kept_at"))
-    pairs = written(met.groupBy("id", block.alias("block"), "kept", kept_block.alias("kept_block")).agg(F.collect_list(F.struct("at", "kept_at")).alias("places")))
+    pairs = written(met.groupBy("id", block.alias("block"), "kept", kept_block.alias("kept_block")).agg(F.collect_list(F.struct("at", "kept_at")).alias("places")), plain=True)
 
     def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
