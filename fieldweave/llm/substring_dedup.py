@@ -250,19 +250,22 @@ def near_copies(flat: DataFrame, near: DataFrame, exact: DataFrame, least_words:
 
     def uncovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, at, code, told_begin, told_end, gone_begin, gone_end in batch.itertuples(index=False):
-                n = int(at.max()) + window
-
-                def inside(begin: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
-                    """How many words of each place are in the ranges."""
-                    if begin is None:
-                        return np.zeros(len(at), dtype=np.int64)
-                    sums = np.concatenate([[0], np.cumsum(marked(begin, end, n))])
-                    return sums[at + window] - sums[at]
-
-                free = inside(gone_begin, gone_end) == 0
-                left = (inside(told_begin, told_end) < window)[free]
-                yield pd.DataFrame({"id": np.repeat(i, len(left)), "at": at[free], "code": code[free], "left": left})
+            for begin in range(0, len(batch), 512):
+                found = []
+                for i, at, code, told_begin, told_end, gone_begin, gone_end in batch.iloc[begin : begin + 512].itertuples(index=False):
+                    n = int(at.max()) + window
+
+                    def inside(begin: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
+                        """How many words of each place are in the ranges."""
+                        if begin is None:
+                            return np.zeros(len(at), dtype=np.int64)
+                        sums = np.concatenate([[0], np.cumsum(marked(begin, end, n))])
+                        return sums[at + window] - sums[at]
+
+                    free = inside(gone_begin, gone_end) == 0
+                    left = (inside(told_begin, told_end) < window)[free]
+                    found.append((np.repeat(i, len(left)), at[free], code[free], left))
+                yield pd.DataFrame(dict(zip(("id", "at", "code", "left"), map(np.concatenate, zip(*found)))))
 
     done = exact.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
     ranged = near.select("id", F.col("places.at").alias("at"), F.col("places.code").alias("code"), *ranges("gone")).join(done.select("id", *ranges("told")), "id", "left")
